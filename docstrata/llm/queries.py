@@ -5,11 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docstrata.common import table
+from docstrata.llm import near_duplicates as nd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+CHUNK_LIKENESS = nd.Likeness("word", 3, 0.6, rows=4, name="chunks")
+TITLE_LIKENESS = nd.Likeness("char", 3, 0.6, rows=6, name="documents")
+
+
+@query
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """All pairs of a group, as the statement of the problem wants them; ``nd.near_duplicates`` gives one row a record."""
+    chunks = table(spark, directory, "chunks").select(F.col("chunk_id").alias("id"), "text")
+    titles = table(spark, directory, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("title").alias("text"))
+    found = nd.components(nd.links(chunks, CHUNK_LIKENESS).union(nd.links(titles, TITLE_LIKENESS)))
+    members = (
+        nd.nodes(chunks, CHUNK_LIKENESS)
+        .withColumn("rel", F.lit("chunks"))
+        .union(nd.nodes(titles, TITLE_LIKENESS).withColumn("rel", F.lit("documents")))
+        .join(found, "node", "left")
+        .select("rel", "id", F.coalesce("group", "node").alias("group"))
+    )
+    a, b = (members.select("rel", "group", F.col("id").alias(f"key_{x}")) for x in "ab")
+    return a.join(b, ["rel", "group"]).where("key_a < key_b").select("rel", "key_a", "key_b")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
