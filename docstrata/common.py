@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +14,23 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+@functools.cache
+def _package_archive() -> str:
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(), "docstrata.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in root.rglob("*.py"):
+            z.write(p, p.relative_to(root.parent))
+    return str(archive)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the executors of ``spark`` (once), so that their Python workers can import it."""
+    context = spark.sparkContext
+    if not any(f.endswith("/docstrata.zip") for f in context.listFiles):
+        context.addPyFile(_package_archive())
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``directory`` (a file or a folder of part files)."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
