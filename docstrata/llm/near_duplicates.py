@@ -17,7 +17,7 @@ from docstrata.common import cut_lineage, small_side
 
 WORD = re.compile(r"\w+")
 #: Buckets with more distinct texts than this are linked star-wise first and completed across components afterwards.
-LARGE_BUCKET = 50
+LARGE_BUCKET = 1000
 
 
 @dataclass(frozen=True)
@@ -45,13 +45,14 @@ def _words(text: str) -> list[str]:
 
 
 class _Shingler:
-    """64-bit ids of a text and of its distinct shingles. Ids of words and characters are mixed over the run's length."""
+    """64-bit ids of a text and of its shingles: random multiples of its units' ids, summed and mixed."""
 
     def __init__(self, like: Likeness):
         self.like, self.ids = like, {}
         self.seed = xxhash.xxh64_intdigest(like.name)
         random = np.random.default_rng(self.seed)
-        self.mix = random.integers(1, 2**63, like.length, dtype=np.uint64) | np.uint64(1)
+        self.factors = random.integers(1, 2**63, like.length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.by, self.mix = np.uint64(32), np.uint64(0x9E3779B97F4A7C15)
 
     def node(self, words: list[str]) -> int:
         return xxhash.xxh3_64_intdigest(" ".join(words), self.seed) - 2**63
@@ -62,6 +63,7 @@ class _Shingler:
         return self.ids.setdefault(word, xxhash.xxh64_intdigest(word))
 
     def shingles(self, words: list[str]) -> np.ndarray:
+        """One id for each place of a shingle: repeated ones are repeated."""
         if self.like.unit == "word":
             known = self.ids.get
             units = np.array([known(w) or self._id(w) for w in words], dtype=np.uint64)
@@ -70,11 +72,13 @@ class _Shingler:
         n = len(units) - self.like.length + 1
         if n <= 0 or not words:
             return np.empty(0, dtype=np.uint64)
-        mixed = np.zeros(n, dtype=np.uint64)
-        for i, factor in enumerate(self.mix):
-            x = (units[i : i + n] + np.uint64(i + 1)) * factor
-            mixed = (mixed ^ (x >> np.uint64(29)) ^ x) * np.uint64(0x9E3779B97F4A7C15)
-        return np.unique(mixed ^ (mixed >> np.uint64(32)))
+        mixed = units[:n] * self.factors[0]
+        for i in range(1, self.like.length):
+            mixed += units[i : i + n] * self.factors[i]
+        mixed ^= mixed >> self.by
+        mixed *= self.mix
+        mixed ^= mixed >> self.by
+        return mixed
 
 
 def _membership(like: Likeness):
@@ -97,7 +101,7 @@ def _shingle_sets(like: Likeness):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = _Shingler(like)
         for texts in _once(batches, shingler):
-            sets = [(n, s.view(np.int64)) for n, w in texts if len(s := shingler.shingles(w))]
+            sets = [(n, np.unique(s).view(np.int64)) for n, w in texts if len(s := shingler.shingles(w))]
             yield pd.DataFrame(sets, columns=["node", "shingles"])
 
     return run
@@ -108,19 +112,24 @@ def _bands(like: Likeness):
         shingler = _Shingler(like)
         random = np.random.default_rng(shingler.seed + 1)
         k = like.bands * like.rows
-        factor, shift = (random.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in "ab")
-        fold = random.integers(0, 2**63, (like.rows,), dtype=np.uint64) | np.uint64(1)
+        factor, shift = (random.integers(0, 2**31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in "ab")
+        fold = random.integers(0, 2**63, like.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         salt = random.integers(0, 2**63, like.bands, dtype=np.uint64)
+        by, mix = np.uint64(31), np.uint64(0xBF58476D1CE4E5B9)
         for texts in _once(batches, shingler):
             out = []
             for node, words in texts:
-                shingles = shingler.shingles(words)
+                shingles = shingler.shingles(words).astype(np.uint32)[:, None]
                 if len(shingles):
-                    least = np.full(k, 2**64 - 1, dtype=np.uint64)
-                    for at in range(0, len(shingles), 256):  # long texts in blocks, so that memory stays small
-                        least = np.minimum(least, (shingles[at : at + 256, None] * factor + shift).min(axis=0))
-                    x = ((least >> np.uint64(7)).reshape(like.bands, like.rows) * fold).sum(axis=1, dtype=np.uint64)
-                    out.append((node, ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) ^ salt).view(np.int64)))
+                    least = np.full(k, 2**32 - 1, dtype=np.uint32)
+                    for at in range(0, len(shingles), 128):  # in blocks that fit the processor's cache
+                        values = shingles[at : at + 128] * factor
+                        values += shift
+                        np.minimum(least, values.min(axis=0), out=least)
+                    x = (least.reshape(like.bands, like.rows) * fold).sum(axis=1, dtype=np.uint64)
+                    x ^= x >> by
+                    x *= mix
+                    out.append((node, (x ^ salt).view(np.int64)))
             yield pd.DataFrame(out, columns=["node", "bands"])
 
     return run

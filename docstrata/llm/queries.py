@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docstrata.common import table
 from docstrata.llm import near_duplicates as nd
+from docstrata.llm.leakage import leaked_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +41,11 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return a.join(b, ["rel", "group"]).where("key_a < key_b").select("rel", "key_a", "key_b")
 
 
+@query
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    return leaked_items(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
