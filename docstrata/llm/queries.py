@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docstrata.common import table
 from docstrata.llm import near_duplicates as nd
 from docstrata.llm.leakage import leaked_items
+from docstrata.llm.packing import pack, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +42,16 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return a.join(b, ["rel", "group"]).where("key_a < key_b").select("rel", "key_a", "key_b")
 
 
+#: The row of the table containers whose capacity p6 packs for.
+CONTAINER = 4
+
+
+@query
+def p6_packed(spark: SparkSession, directory: str) -> DataFrame:
+    capacity = table(spark, directory, "containers").where(F.col("container_id") == CONTAINER).first().capacity_tokens
+    return pack(token_counts(table(spark, directory, "documents")), capacity)
+
+
 @query
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return leaked_items(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
