@@ -18,7 +18,7 @@ K1, B = 1.2, 0.75
 BLOCK = 16
 #: The index is sent to every executor, so the items of one index may hold at most so many characters; more items are
 #: indexed in several parts, each of which is asked with all documents.
-INDEX_CHARS = 1_000_000
+INDEX_CHARS = 250_000
 
 
 def words(text: str) -> list[str]:
@@ -30,7 +30,7 @@ def words(text: str) -> list[str]:
 class ItemIndex:
     """Inverted index of test items with BM25 impacts, cut into blocks of BLOCK items.
 
-    ``terms`` numbers the words from 1 (0: in no item); ``impacts[i]`` maps the terms of item i to their score shares;
+    ``terms`` numbers the words from 1 (0: in no item); ``impacts[t, b]`` are term t's score shares in the items of block b;
     ``block_max[t, b]`` is the largest share of term t in block b and ``upper[t]`` the largest of all. ``need[i]`` is the
     least score of a passage that holds ``run`` consecutive words of item i, the threshold at which retrieval is complete.
     Items are ordered by it, so that a block's threshold fits all of its items. Items of fewer words can't leak and are
@@ -39,7 +39,7 @@ class ItemIndex:
 
     run: int
     terms: dict[str, int]
-    impacts: list[dict[int, float]]
+    impacts: np.ndarray
     block_max: np.ndarray
     upper: np.ndarray
     need: np.ndarray
@@ -61,21 +61,17 @@ class ItemIndex:
             }
             numbers = [terms[x] for x in w]
             runs = frozenset(tuple(numbers[i : i + run]) for i in range(len(numbers) - run + 1))
-            items.append((min(sum(share[t] for t in set(r)) for r in runs) * (1 - 1e-6), ident, share, runs))
+            items.append((min(sum(share[t] for t in r) for r in runs) * (1 - 1e-6), ident, share, runs))
         items.sort(key=lambda x: x[:2])
-        block_max = np.zeros((len(terms) + 1, -(-len(items) // BLOCK)), dtype=np.float32)
+        blocks = -(-len(items) // BLOCK)
+        impacts = np.zeros((len(terms) + 1, blocks, BLOCK), dtype=np.float32)
         for i, (_, _, share, _) in enumerate(items):
-            t = np.fromiter(share, dtype=np.int64)
-            block_max[t, i // BLOCK] = np.maximum(block_max[t, i // BLOCK], np.fromiter(share.values(), dtype=np.float32))
+            impacts[np.fromiter(share, dtype=np.int64), i // BLOCK, i % BLOCK] = np.fromiter(share.values(), dtype=np.float32)
+        block_max = impacts.max(axis=2, initial=0)
+        need = np.full(blocks * BLOCK, np.inf)
+        need[: len(items)] = [x[0] for x in items]
         return cls(
-            run,
-            terms,
-            [x[2] for x in items],
-            block_max,
-            block_max.max(axis=1, initial=0),
-            np.array([x[0] for x in items]),
-            [x[1] for x in items],
-            [x[3] for x in items],
+            run, terms, impacts, block_max, block_max.max(axis=1, initial=0), need, [x[1] for x in items], [x[3] for x in items]
         )
 
     def leaks(self, text: str) -> set[int]:
@@ -99,13 +95,12 @@ class ItemIndex:
         out: set[int] = set()
         for at in range(0, len(windows), 512):
             some = windows[at : at + 512]
-            for w, block in np.argwhere(self.block_max[some].sum(axis=1) >= self.need[::BLOCK] * (1 - 1e-6)).tolist():
-                query = some[w].tolist()
-                distinct = set(query)
-                for i in range(block * BLOCK, min(len(self.need), (block + 1) * BLOCK)):
-                    share = self.impacts[i]
-                    if sum(share.get(t, 0.0) for t in distinct) >= self.need[i] and tuple(query) in self.runs[i]:
-                        out.add(self.ids[i])
+            w, block = np.nonzero(self.block_max[some].sum(axis=1) >= self.need[::BLOCK])
+            score = self.impacts[some[w], block[:, None]].sum(axis=1)
+            for pair, place in np.argwhere(score >= self.need.reshape(-1, BLOCK)[block]).tolist():
+                i = block[pair] * BLOCK + place
+                if tuple(some[w[pair]].tolist()) in self.runs[i]:
+                    out.add(self.ids[i])
         return out
 
 
