@@ -11,6 +11,7 @@ from docstrata.common import table
 from docstrata.llm import near_duplicates as nd
 from docstrata.llm.leakage import leaked_items
 from docstrata.llm.packing import pack, token_counts
+from docstrata.llm.syntax import syntax_errors, syntax_rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +22,17 @@ def query(f):
     return f
 
 
+@query
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return syntax_errors(table(spark, directory, "documents")).select("doc_id").distinct()
+
+
+@query
+def p3_rates(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    return syntax_rates(documents, syntax_errors(documents))
+
+
 CHUNK_LIKENESS = nd.Likeness("word", 3, 0.6, rows=4, name="chunks")
 TITLE_LIKENESS = nd.Likeness("char", 3, 0.6, rows=6, name="documents")
 
