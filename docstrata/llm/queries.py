@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.common import table
+from docstrata.common import cut_lineage, table
 from docstrata.llm import near_duplicates as nd
+from docstrata.llm.encoding import damaged_pieces, damaged_records
 from docstrata.llm.leakage import leaked_items
 from docstrata.llm.packing import pack, token_counts
 from docstrata.llm.syntax import syntax_errors, syntax_rates
@@ -22,6 +23,21 @@ def query(f):
     return f
 
 
+def _texts(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    chunks = table(spark, directory, "chunks")
+    return documents.select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("id"), "text").union(
+        chunks.select(F.concat(F.lit("chunks/"), F.col("chunk_id")), "text")
+    )
+
+
+@query
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    texts = _texts(spark, directory)
+    records = damaged_records(texts, cut_lineage(damaged_pieces(texts))).select("id").distinct()
+    return records.select(F.substring_index("id", "/", 1).alias("rel"), F.expr("substring(id, instr(id, '/') + 1)").alias("rec_key"))
+
+
 @query
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return syntax_errors(table(spark, directory, "documents")).select("doc_id").distinct()
@@ -34,7 +50,7 @@ def p3_rates(spark: SparkSession, directory: str) -> DataFrame:
 
 
 CHUNK_LIKENESS = nd.Likeness("word", 3, 0.6, rows=4, name="chunks")
-TITLE_LIKENESS = nd.Likeness("char", 3, 0.6, rows=6, name="documents")
+TITLE_LIKENESS = nd.Likeness("char", 3, 0.6, rows=7, name="documents")
 
 
 @query
