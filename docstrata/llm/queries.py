@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docstrata.common import cut_lineage, table
 from docstrata.llm import near_duplicates as nd
 from docstrata.llm.encoding import damaged_pieces, damaged_records
+from docstrata.llm.handwritten import not_handwritten_paths, not_handwritten_texts, train
 from docstrata.llm.leakage import leaked_items
 from docstrata.llm.packing import pack, token_counts
 from docstrata.llm.syntax import syntax_errors, syntax_rates
@@ -38,6 +39,22 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return records.select(F.substring_index("id", "/", 1).alias("rel"), F.expr("substring(id, instr(id, '/') + 1)").alias("rec_key"))
 
 
+@query
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("repo"), "path", "text", F.col("file_lang").alias("lang")
+    )
+    files = table(spark, directory, "kb_files").select(F.col("file_id").alias("id"), F.col("source_id").alias("repo"), "path")
+    models = train(files.select("repo", "path").union(documents.select("repo", "path")), documents)
+    found = not_handwritten_paths(documents, models).union(not_handwritten_texts(documents, models))
+    return (
+        found.withColumn("rel", F.lit("documents"))
+        .union(not_handwritten_paths(files, models).withColumn("rel", F.lit("kb_files")))
+        .select("rel", F.col("id").alias("rec_key"))
+        .distinct()
+    )
+
+
 @query
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return syntax_errors(table(spark, directory, "documents")).select("doc_id").distinct()
