@@ -13,6 +13,7 @@ from docstrata.llm.encoding import damaged_pieces, damaged_records
 from docstrata.llm.handwritten import not_handwritten_paths, not_handwritten_texts, train
 from docstrata.llm.leakage import leaked_items
 from docstrata.llm.packing import pack, token_counts
+from docstrata.llm.personal import personal_data, without_personal_data
 from docstrata.llm.syntax import syntax_errors, syntax_rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +103,16 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return leaked_items(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
 
 
+@query
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return personal_data(table(spark, directory, "documents")).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+@query
+def p8_masked(spark: SparkSession, directory: str) -> DataFrame:
+    return without_personal_data(table(spark, directory, "documents")).select("doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
