@@ -108,3 +108,14 @@ def diff_pairs(pairs: DataFrame) -> DataFrame:
 
     kind = dict(pairs.dtypes)["id"]
     return pairs.select("id", "before", "after").mapInPandas(run, f"id {kind}, hunks array<{HUNK}>, method string")
+
+
+def patched(pairs: DataFrame) -> DataFrame:
+    """``id, after`` of ``pairs`` (``id, before, hunks``): the texts after their hunks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [apply(a or "", [tuple(h.values()) for h in hs]) for a, hs in zip(batch.before, batch.hunks, strict=True)]
+            yield pd.DataFrame({"id": batch.id, "after": texts})
+
+    return pairs.select("id", "before", "hunks").mapInPandas(run, f"id {dict(pairs.dtypes)['id']}, after string")

@@ -6,47 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstrata.common import table
-from docstrata.operators.snapshot_changes import snapshot_changes
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers ``f(spark, directory)`` under ``name``, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "p5_found",
-    """
-WITH s AS (SELECT snapshot_id, min(source_id) AS source_id, min(created_at) AS created_at FROM snapshots
-           WHERE snapshot_id IS NOT NULL GROUP BY snapshot_id),
-     o AS (SELECT *, lag(snapshot_id) OVER (PARTITION BY source_id ORDER BY created_at, snapshot_id) AS before FROM s),
-     f AS (SELECT snapshot_id, path, arg_max(coalesce(raw_hash, '-'), loaded_at) AS raw_hash FROM kb_files
-           GROUP BY snapshot_id, path),
-     now AS (SELECT o.snapshot_id, f.path, f.raw_hash FROM o JOIN f USING (snapshot_id) WHERE o.before IS NOT NULL),
-     old AS (SELECT o.snapshot_id, f.path, f.raw_hash FROM o JOIN f ON f.snapshot_id = o.before)
-SELECT coalesce(now.snapshot_id, old.snapshot_id) AS snapshot_id, coalesce(now.path, old.path) AS path,
-       CASE WHEN old.path IS NULL THEN 'added' WHEN now.path IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM now FULL JOIN old ON now.snapshot_id = old.snapshot_id AND now.path = old.path
-WHERE old.path IS NULL OR now.path IS NULL OR now.raw_hash <> old.raw_hash
-""",
-)
-def p5_found(spark: SparkSession, directory: str) -> DataFrame:
-    return snapshot_changes(table(spark, directory, "kb_files"), table(spark, directory, "snapshots"))
+from docstrata.plans import content, profile, retrieval, versions  # noqa: F401  (they register their queries)
+from docstrata.plans.register import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    return p5_found(spark, directory)
+    return retrieval.rrf_hybrid(spark, directory)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
