@@ -175,6 +175,11 @@ def _piece_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(list(count.items()), columns=["piece", "n"])
 
 
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"key": batch.piece.map(key), "n": batch.n}).groupby("key", as_index=False).sum()
+
+
 def _piece_rows(id_type: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -191,6 +196,7 @@ def damaged_pieces(texts: DataFrame) -> DataFrame:
 
     ``restored`` and ``channel`` are null where nothing believable was found. Pieces are counted over all texts (partial
     counts per batch, one shuffle); candidate readings are made once per distinct piece and joined with those counts.
+    Null, empty and ASCII texts have no pieces; no texts give no rows.
     """
     counts = cut_lineage(
         texts.select("text").mapInPandas(_piece_counts, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -216,7 +222,7 @@ def damaged_pieces(texts: DataFrame) -> DataFrame:
 
     schema = "piece string, n long, lost boolean, restored string, channel string, odds double, key string, word boolean"
     read_out = counts.mapInPandas(read, schema)
-    keys = counts.select(F.udf(key)("piece").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("known"))
+    keys = counts.mapInPandas(_keyed, "key string, n long").groupBy("key").agg(F.sum("n").alias("known"))
     scored = (
         read_out.join(keys, "key", "left")
         .groupBy("piece", "restored")
@@ -253,3 +259,39 @@ def damaged_records(texts: DataFrame, damage: DataFrame) -> DataFrame:
     """``id, piece, restored, channel``: one row per record of ``texts`` (``id, text``) and damaged piece in it."""
     run, schema = _piece_rows(dict(texts.dtypes)["id"])
     return texts.select("id", "text").mapInPandas(run, schema).join(small_side(damage), "piece")
+
+
+def restored(texts: DataFrame, damage: DataFrame) -> DataFrame:
+    """``id, text, lost``: the damaged records of ``texts`` (``id, text``) with every restorable piece put right.
+
+    ``lost`` tells whether damage is left that nothing explains; it stays as it stands. Each record's few pieces are
+    grouped by id and joined back to its text; rows that share an id must share their text.
+    """
+    found = (
+        damaged_records(texts, damage)
+        .groupBy("id")
+        .agg(F.collect_set(F.struct("piece", "restored")).alias("pieces"), F.max(F.col("restored").isNull()).alias("lost"))
+    )
+
+    def put_right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = []
+            for text, known in zip(batch.text, batch.pieces, strict=True):
+                right = {p["piece"]: p["restored"] for p in known if p["restored"] is not None}
+                at, out = 0, []
+                for m, piece in zip(RUN.finditer(text), pieces(text), strict=True):
+                    if piece in right:
+                        # A collapsed piece keeps only the letters next to its signs: the others stand in the run itself.
+                        out += [text[at : m.start()], _expand(m[0], split(piece)[1], right[piece])]
+                        at = m.end()
+                done.append("".join(out) + text[at:])
+            yield pd.DataFrame({"id": batch.id, "text": done, "lost": batch.lost})
+
+    kind = dict(texts.dtypes)["id"]
+    return texts.dropDuplicates(["id"]).join(found, "id").select("id", "text", "pieces", "lost").mapInPandas(put_right, f"id {kind}, text string, lost boolean")
+
+
+def _expand(run: str, short: str, right: str) -> str:
+    """``right``, the reading of ``short``, with what collapsing took from the ends of ``run``."""
+    at = run.find(short)
+    return right if at < 0 else run[:at] + right + run[at + len(short) :]

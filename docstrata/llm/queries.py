@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docstrata.common import cut_lineage, table
 from docstrata.llm import near_duplicates as nd
-from docstrata.llm.encoding import damaged_pieces, damaged_records
+from docstrata.llm.encoding import damaged_pieces, damaged_records, restored
 from docstrata.llm.handwritten import not_handwritten_paths, not_handwritten_texts, train
 from docstrata.llm.leakage import leaked_items
 from docstrata.llm.packing import pack, token_counts
@@ -40,6 +40,14 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return records.select(F.substring_index("id", "/", 1).alias("rel"), F.expr("substring(id, instr(id, '/') + 1)").alias("rec_key"))
 
 
+@query
+def p1_restored(spark: SparkSession, directory: str) -> DataFrame:
+    texts = _texts(spark, directory)
+    return restored(texts, cut_lineage(damaged_pieces(texts))).select(
+        F.substring_index("id", "/", 1).alias("rel"), F.expr("substring(id, instr(id, '/') + 1)").alias("rec_key"), "text", "lost"
+    )
+
+
 @query
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents").select(
