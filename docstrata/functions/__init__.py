@@ -1 +1 @@
-
+"""Functions on texts and columns."""

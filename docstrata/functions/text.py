@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The upper-case and accented Latin letters that keyword search folds, and what they become.
-FOLD_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "abcdefghijklmnopqrstuvwxyzaaaaaaceeeeiiiinooooouuuuyaaaaaaceeeeiiiinooooouuuuyy"
+# The accented Latin letters that keyword search folds, and what they become.
+FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 TOKEN = r"[\p{L}\p{N}_]+"
 # Numbers with an optional unit.
 NUMBER = (
@@ -19,7 +19,9 @@ NUMBER = (
 
 
 def fold(text: Column) -> Column:
-    return F.translate(text, FOLD_FROM, FOLD_TO)
+    """Lower case without Latin accents; letters are exchanged one by one only in texts that have any to exchange."""
+    low = F.lower(text)
+    return F.when(low.rlike("[à-ÿ]"), F.translate(low, FOLD_FROM, FOLD_TO)).otherwise(low)
 
 
 def tokens(text: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docstrata.functions.text import cosine, fold, tokens
+from docstrata.functions.text import TOKEN, cosine, fold, tokens
 
 #: BM25's parameters, the weight of the title against the text, and the least weight of a word.
 K1, B, TITLE_WEIGHT, LEAST_IDF = 1.2, 0.75, 3.0, 1e-6
@@ -27,12 +30,51 @@ def write_postings(chunks: DataFrame, path: str) -> None:
     postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
 
 
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Writes postings, lengths and totals of ``chunks`` below ``path``, for ``search_index``."""
+    write_postings(chunks, f"{path}/postings")
+    lengths = chunk_lengths(chunks.sparkSession.read.parquet(f"{path}/postings"))
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    held = chunks.sparkSession.read.parquet(f"{path}/lengths").agg(F.sum("dl").alias("words"))
+    held.withColumn("n", F.lit(chunks.count())).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def search_index(spark: SparkSession, path: str, queries: dict[str, list[str]]) -> DataFrame:
+    """``query, chunk_id, score`` as ``bm25_many`` gives them, from a written index.
+
+    Prefixes reach the scan as filters on the sorted term column, so only the row groups that hold them are read; all
+    words of all queries are read in one scan. Frequencies are sums over the matching postings.
+    """
+    total = spark.read.parquet(f"{path}/totals").first()
+    asked = {(q, w) for q, words in queries.items() for w in words}
+    folded = spark.createDataFrame(sorted(asked), "query string, word string").select("query", fold(F.col("word")).alias("prefix")).distinct().collect()
+    prefixes = sorted({r.prefix for r in folded})
+    terms = spark.read.parquet(f"{path}/postings")
+    if not prefixes or not total or not total.n:
+        return terms.select(F.lit("").alias("query"), "chunk_id", F.lit(0.0).alias("score")).limit(0)
+    found = terms.where(reduce(lambda a, b: a | b, [F.col("term").startswith(p) for p in prefixes])).select(
+        "chunk_id",
+        F.explode(F.array_compact(F.array(*[F.when(F.col("term").startswith(p), F.lit(p)) for p in prefixes]))).alias("prefix"),
+        (TITLE_WEIGHT * F.col("tf_title") + F.col("tf_text")).alias("f"),
+    )
+    by_chunk = found.groupBy("prefix", "chunk_id").agg(F.sum("f").alias("f"))
+    held = by_chunk.groupBy("prefix").agg(F.count(F.lit(1)).alias("d"))
+    mean = total.words / total.n
+    idf = F.greatest(F.log((total.n - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(LEAST_IDF))
+    share = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / mean))
+    by_prefix = by_chunk.join(F.broadcast(held), "prefix").join(spark.read.parquet(f"{path}/lengths"), "chunk_id").select("prefix", "chunk_id", share.alias("share"))
+    wanted = spark.createDataFrame(folded, "query string, prefix string")
+    return by_prefix.join(F.broadcast(wanted), "prefix").groupBy("query", "chunk_id").agg(F.sum("share").alias("score"))
+
+
 def chunk_lengths(index: DataFrame) -> DataFrame:
     return index.groupBy("chunk_id").agg(F.sum(F.col("tf_title") + F.col("tf_text")).alias("dl"))
 
 
-def _count(words: Column, prefix: str) -> Column:
-    return F.size(F.filter(words, lambda w: w.startswith(prefix)))
+def _count(folded: Column, prefix: str) -> Column:
+    """How many words of a folded text begin with ``prefix``: found literally, then checked for a word's beginning."""
+    p = re.escape(prefix)
+    return F.regexp_count(folded, F.lit(rf"{p}(?<=(?<![\p{{L}}\p{{N}}_]){p})"))
 
 
 def bm25(chunks: DataFrame, words: list[str]) -> DataFrame:
@@ -55,10 +97,10 @@ def bm25_many(chunks: DataFrame, queries: dict[str, list[str]]) -> DataFrame:
     empty = spark.createDataFrame([], f"query string, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double")
     if not places:
         return empty
-    read = chunks.select("chunk_id", tokens(F.col("title")).alias("t"), tokens(F.col("text")).alias("x"))
+    read = chunks.select("chunk_id", *[fold(F.coalesce(c, F.lit(""))).alias(n) for c, n in (("title", "t"), ("text", "x"))])
     counted = read.select(
         "chunk_id",
-        (F.size("t") + F.size("x")).alias("dl"),
+        (F.regexp_count("t", F.lit(TOKEN)) + F.regexp_count("x", F.lit(TOKEN))).alias("dl"),
         *[(TITLE_WEIGHT * _count(F.col("t"), p) + _count(F.col("x"), p)).alias(f"f{i}") for p, i in places.items()],
     )
     sums = [F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in places.values()]
@@ -78,9 +120,9 @@ def bm25_many(chunks: DataFrame, queries: dict[str, list[str]]) -> DataFrame:
             for q, words in queries.items()
         ]
     )
+    # Rows without a hit are dropped by their score: an earlier filter would be pushed below and count twice.
     return (
-        counted.where(" OR ".join(f"f{i} > 0" for i in places.values()))
-        .select("chunk_id", F.explode(scores).alias("s"))
+        counted.select("chunk_id", F.explode(scores).alias("s"))
         .select("s.query", "chunk_id", "s.score")
         .where("score > 0")
     )

@@ -12,7 +12,7 @@ from docstrata.functions.diff import diff_pairs, patched
 from docstrata.operators import versions as ve
 from docstrata.plans.register import query
 
-WORDS = rf"regexp_extract_all(translate(coalesce({{0}}, ''), '{tx.FOLD_FROM}', '{tx.FOLD_TO}'), '[\p{{{{L}}}}\p{{{{N}}}}_]+')"
+WORDS = rf"regexp_extract_all(translate(lower(coalesce({{0}}, '')), '{tx.FOLD_FROM}', '{tx.FOLD_TO}'), '[\p{{{{L}}}}\p{{{{N}}}}_]+')"
 WHITE = r"[\t\n\x0B\f\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 

@@ -1 +1 @@
-
+"""Change feeds."""
