@@ -62,8 +62,10 @@ def pieces(text: str, start: int = 0, end: int | None = None) -> Iterator[str]:
 
 
 def key(piece: str) -> str:
-    """What the corpus counts of a piece: its lower-case run with only the nearest context."""
+    """What the corpus counts of a piece: a word in lower case alone, a shorter run with what stands around it."""
     left, run, right = split(piece)
+    if WORDS.search(run):
+        return run.lower()
     return f"{left[-1:] if len(run) > 2 else left}|{run.lower()}|{right[:1] if len(run) > 2 else right}"
 
 

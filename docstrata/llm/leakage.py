@@ -110,7 +110,8 @@ def _parts(items: DataFrame, chars: int) -> list[list[tuple[int, str]]]:
     total = items.agg(F.sum(size)).first()[0] or 0
     if total <= chars:
         return [[(r.item_id, r.text) for r in items.select("item_id", "text").collect()]]
-    cuts = items.approxQuantile("item_id", [i / (n := -(-2 * total // chars)) for i in range(1, n)], 0.0)
+    n = -(-2 * total // chars)
+    cuts = items.approxQuantile("item_id", [i / n for i in range(1, n)], 0.0)
     edges = [None, *sorted(set(cuts)), None]
     parts = []
     for low, high in zip(edges, edges[1:], strict=False):
