@@ -8,7 +8,7 @@ SCHEMA = "id string, text string, piece string"
 
 @pytest.fixture(scope="module")
 def found(spark):
-    rows = [(f"g{i}", GOOD, "clash") for i in range(60)]
+    rows = [(f"g{i}", GOOD, "clash") for i in range(200)]
     damaged = {
         "utf8 as cp1252": "für den Zähler".encode().decode("cp1252"),
         "utf8 as latin1": "à 25 °C".encode().decode("latin-1"),
