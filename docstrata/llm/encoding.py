@@ -182,6 +182,41 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": batch.piece.map(key), "n": batch.n}).groupby("key", as_index=False).sum()
 
 
+def _masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words by their mask, every non-ASCII character lost: ``piece`` where they are lost, ``run`` where they are not."""
+    for batch in batches:
+        rows = []
+        for piece, n in zip(batch.piece, batch.n, strict=True):
+            run = split(piece)[1]
+            mask = re.sub(r"[^\x00-\x7f]", LOST, run.lower())
+            if re.search(r"[a-z].*[a-z]", mask) and not CONTROL.search(run):
+                known = run.lower() if LOST not in run else None
+                rows.append((mask, None if known else piece, known, run, n))
+        yield pd.DataFrame(rows, columns=["mask", "piece", "known", "run", "n"], dtype=object)
+
+
+def _cased(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lower-case words in the case of the runs they restore."""
+    for batch in rows:
+        pairs = zip(batch.known, batch.run, strict=True)
+        cased = [w.upper() if r.isupper() and len(r) > 1 else w.capitalize() if r[0].isupper() else w for w, r in pairs]
+        yield pd.DataFrame({"piece": batch.piece, "filled": cased})
+
+
+def _filled(counts: DataFrame, damaged: DataFrame) -> DataFrame:
+    """``piece, filled``: lost pieces with the corpus' most frequent word that agrees in all that is not lost.
+
+    This is the search through the lattice of a single-byte encoding, each lost byte a wildcard, under word frequencies:
+    all words of one mask are its paths. Grouped and joined by mask; only the best word of a mask is kept, and none that
+    is ``damaged`` itself.
+    """
+    masks = counts.join(small_side(damaged.select("piece")), "piece", "left_anti").select("piece", "n").mapInPandas(_masked, "mask string, piece string, known string, run string, n long")
+    words = masks.where("known IS NOT NULL").groupBy("mask", "known").agg(F.sum("n").alias("n"))
+    best = words.groupBy("mask").agg(F.max_by("known", F.struct("n", "known")).alias("known"))
+    lost = masks.where("piece IS NOT NULL").select("mask", "piece", "run")
+    return lost.join(best, "mask").select("piece", "known", "run").mapInPandas(_cased, "piece string, filled string")
+
+
 def _piece_rows(id_type: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -254,7 +289,13 @@ def damaged_pieces(texts: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct("restored", "channel"), F.struct("score", "restored")).alias("best"))
         .select("piece", "best.restored", "best.channel")
     )
-    return here.join(best, "piece", "left").where("lost OR restored IS NOT NULL").select("piece", "restored", "channel")
+    best = cut_lineage(best)
+    return (
+        here.join(best, "piece", "left")
+        .where("lost OR restored IS NOT NULL")
+        .join(_filled(counts, best.where(~F.col("piece").contains(LOST))), "piece", "left")
+        .select("piece", F.coalesce("filled", "restored").alias("restored"), F.when(F.col("filled").isNotNull(), "lost bytes").otherwise(F.col("channel")).alias("channel"))
+    )
 
 
 def damaged_records(texts: DataFrame, damage: DataFrame) -> DataFrame:
