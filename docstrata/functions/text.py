@@ -186,3 +186,14 @@ def is_supported(path: Column) -> Column:
         & ~F.arrays_overlap(dirs, F.array(*map(F.lit, EXCLUDED)))
         & ~basename(path).startswith("~$")
     )
+
+
+def mention_place(text: Column, label: str) -> Column:
+    """The 1-based place of a whole label in a text, without case, or 0; letters, digits, ``_``, ``.`` and ``-`` bound it."""
+    edge = r"[A-Za-z0-9_.-]"
+    return F.coalesce(F.regexp_instr(text, F.lit(rf"(?i)(?<!{edge}){re.escape(label)}(?!{edge})")), F.lit(0)) if label else F.lit(0)
+
+
+def version_names(text: Column) -> Column:
+    """Version names that a text spells out: a ``v``, numbers joined by dots, and what hangs on to them."""
+    return F.regexp_extract_all(text, F.lit(r"(?i)(?<![A-Za-z0-9_.-])(v\d+(?:\.\d+)*(?:[-+][A-Za-z0-9.]+)?)(?![A-Za-z0-9_-])"), F.lit(1))
