@@ -179,6 +179,18 @@ def _fit(rows: list[tuple[str, np.ndarray, bool]]) -> tuple[LinearSVM, float]:
     return LinearSVM.fit([f for _, f, _ in rows], [y for _, _, y in rows]), right
 
 
+def _thin(rows: DataFrame, n: int, total: int) -> DataFrame:
+    """About twice ``n`` of ``total`` rows, those of least hash ``o``: so that what is ordered afterwards stays small."""
+    share = 2 * n / max(1, total)
+    return rows if share >= 1 else rows.where(F.col("o") < F.lit(int(-(2**63) + share * 2**64)))
+
+
+def _thin_again(rows: DataFrame, n: int, total: int) -> DataFrame:
+    """At most ``n`` of ``total`` rows that are already thinned by ``o``, by another hash of it."""
+    again = rows.withColumn("o", F.xxhash64("o"))
+    return _thin(again, n, total).orderBy("o").limit(n).select("repo", "text", "lang")
+
+
 def train(paths: DataFrame, documents: DataFrame) -> Models:
     """Models from a bounded sample of ``paths`` (``repo, path``) and ``documents`` (``repo, path, text, lang``).
 
@@ -190,13 +202,18 @@ def train(paths: DataFrame, documents: DataFrame) -> Models:
     known = paths.where("path IS NOT NULL").select("repo", "path", seed.alias("seed"), order.alias("o"))
     rank = F.row_number().over(Window.partitionBy("seed").orderBy("o", "path"))
     positive = known.where("seed <> ''").dropDuplicates(["repo", "path"]).withColumn("r", rank).where(F.col("r") <= PER_SEED)
-    negative = known.where("seed = ''").orderBy("o").limit(OTHER_PATHS)
+    others = known.where("seed = ''")
+    total = others.agg(F.approx_count_distinct("o").alias("n")).first().n
+    negative = _thin(others, OTHER_PATHS, total).dropDuplicates(["repo", "path"]).orderBy("o", "repo", "path").limit(OTHER_PATHS)
     sample = positive.select("repo", "path", "seed").union(negative.select("repo", "path", "seed")).distinct().toPandas()
     path, path_right = _fit([(str(r.repo), path_features(r.path), r.seed != "") for r in sample.itertuples()])
 
     code = documents.where("lang IS NOT NULL AND text <> ''").select("repo", "text", "lang", order.alias("o"))
     hint = F.col("text").rlike(r"(?i)generated|do not |machine-made|automatically|verbatim|unmodified|licen[cs]e|[^\n]{250}|(?:0x[0-9a-fA-F]+, *){6}|[A-Za-z0-9+/]{60}")
-    texts = code.where(hint).orderBy("o").limit(TEXTS // 2).union(code.where(~hint).orderBy("o").limit(TEXTS // 2)).toPandas()
+    some = _thin(code, 10 * TEXTS, code.count()).withColumn("hint", hint)
+    hinted, rest = some.agg(F.count_if("hint"), F.count_if(~F.col("hint"))).first()
+    halves = [_thin_again(some.where(w), TEXTS // 2, n) for w, n in (("hint", hinted), ("NOT hint", rest))]
+    texts = halves[0].union(halves[1]).toPandas()
     lines, bodies = {}, []
     for repo, text, lang in zip(texts.repo, texts.text, texts.lang, strict=True):
         away = generated = False
