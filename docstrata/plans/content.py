@@ -193,6 +193,42 @@ def location_labels(spark: SparkSession, directory: str) -> DataFrame:
     return chunks.select("chunk_id", tx.location_label(F.col("page"), F.col("start_line"), F.col("end_line")).alias("label"))
 
 
+LINE_CHUNKS = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, text, CASE WHEN length(regexp_replace(substr(text, 1, 16384), '[^\x{3000}-\x{9fff}\x{ac00}-\x{d7af}]', '', 'g'))
+    / greatest(length(substr(text, 1, 16384)), 1) >= 0.15 THEN 600 ELSE 1400 END AS target FROM documents WHERE text <> ''),
+l AS (SELECT doc_id, target, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n,
+      len(string_split(text, chr(10))) AS lines FROM d),
+m AS (SELECT doc_id, target, n, CASE WHEN n < lines THEN line || chr(10) ELSE line END AS line FROM l WHERE n < lines OR line <> ''),
+u AS (SELECT doc_id, target, n, k, substr(line, k * target + 1, target) AS piece, k = 0 AS b, (k + 1) * target >= length(line) AS e
+      FROM (SELECT *, unnest(range((length(line) + target - 1) // target)) AS k FROM m)),
+g AS (SELECT doc_id, any_value(target) AS target, any_value(CASE target WHEN 600 THEN 700 ELSE 1800 END) AS most, list(n ORDER BY n, k) AS ln,
+        list(length(piece) ORDER BY n, k) AS le, list(b ORDER BY n, k) AS b, list(e ORDER BY n, k) AS e,
+        list(regexp_matches(piece, '[^\x1c-\x1f@WHITE@]') ORDER BY n, k) AS inked, count(*) AS c FROM u GROUP BY doc_id),
+h AS (SELECT *, list_transform(range(c + 1), lambda i: coalesce(list_sum(le[1:i]), 0)) AS cum FROM g),
+s AS (
+  SELECT doc_id, CAST(1 AS BIGINT) AS a FROM h
+  UNION ALL
+  SELECT doc_id, CASE WHEN back > a AND b[back] AND e[z] AND z < c AND cum[z + 1] - cum[back] < target
+      AND cum[z + 1] - cum[back] + le[z + 1] <= most THEN back ELSE z + 1 END
+  FROM (SELECT *, list_filter(range(a, z + 1), lambda j: ln[j] >= ln[z] - 1)[1] AS back FROM (
+    SELECT h.*, s.a, coalesce(list_filter(range(s.a + 1, h.c + 1), lambda x: cum[x + 1] - cum[s.a] > most OR cum[x] - cum[s.a] >= target)[1] - 1, h.c) AS z
+    FROM s JOIN h USING (doc_id) WHERE s.a <= h.c))
+),
+r AS (SELECT h.*, s.a, coalesce(list_filter(range(s.a + 1, h.c + 1), lambda x: cum[x + 1] - cum[s.a] > most OR cum[x] - cum[s.a] >= target)[1] - 1, h.c) AS z
+      FROM s JOIN h USING (doc_id) WHERE s.a <= h.c)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS ordinal, CAST(ln[a] AS INTEGER) AS start_line,
+  CAST(ln[z] AS INTEGER) AS end_line, CAST(cum[z + 1] - cum[a] AS INTEGER) AS length
+FROM r WHERE list_bool_or(inked[a:z])
+""".replace("@WHITE@", WHITE[1:-2])
+
+
+@query("line_chunks", LINE_CHUNKS)
+def line_chunks(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents").withColumn("file_lang", F.lit(None).cast("string"))
+    return chunked(documents).select("doc_id", "ordinal", "start_line", "end_line", F.length("text").alias("length"))
+
+
 @query("chunk_text")
 def chunk_text(spark: SparkSession, directory: str) -> DataFrame:
     found = chunked(table(spark, directory, "documents"))
