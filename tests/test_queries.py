@@ -45,3 +45,10 @@ def test_query(spark, duck, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     assert rows == Counter(tuple(plain(dict(zip(names, r))[c]) for c in columns) for r in result.fetchall())
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
