@@ -45,13 +45,19 @@ def _words(text: str) -> list[str]:
 
 
 class _Shingler:
-    """64-bit ids of a text and of its shingles: random multiples of its units' ids, summed and mixed."""
+    """64-bit ids of a text and of its shingles.
+
+    Up to three characters are their own id, which is exact and, sorted, compresses well; other shingles are random
+    multiples of their units' ids, summed and mixed.
+    """
 
     def __init__(self, like: Likeness):
         self.like, self.ids = like, {}
         self.seed = xxhash.xxh64_intdigest(like.name)
         random = np.random.default_rng(self.seed)
         self.factors = random.integers(1, 2**63, like.length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.exact = like.unit == "char" and like.length <= 3
+        self.packed = np.array([1 << 21 * i for i in range(min(like.length, 3))], dtype=np.uint64)
         self.by, self.mix = np.uint64(32), np.uint64(0x9E3779B97F4A7C15)
 
     def node(self, words: list[str]) -> int:
@@ -72,13 +78,17 @@ class _Shingler:
         n = len(units) - self.like.length + 1
         if n <= 0 or not words:
             return np.empty(0, dtype=np.uint64)
-        mixed = units[:n] * self.factors[0]
+        factors = self.packed if self.exact else self.factors
+        ids = units[:n] * factors[0]
         for i in range(1, self.like.length):
-            mixed += units[i : i + n] * self.factors[i]
-        mixed ^= mixed >> self.by
-        mixed *= self.mix
-        mixed ^= mixed >> self.by
-        return mixed
+            ids += units[i : i + n] * factors[i]
+        return ids if self.exact else self.mixed(ids)
+
+    def mixed(self, ids: np.ndarray) -> np.ndarray:
+        ids = ids ^ ids >> self.by
+        ids *= self.mix
+        ids ^= ids >> self.by
+        return ids
 
 
 def _membership(like: Likeness):
@@ -119,7 +129,8 @@ def _bands(like: Likeness):
         for texts in _once(batches, shingler):
             out = []
             for node, words in texts:
-                shingles = shingler.shingles(words).astype(np.uint32)[:, None]
+                shingles = shingler.shingles(words)
+                shingles = (shingler.mixed(shingles) if shingler.exact else shingles).astype(np.uint32)[:, None]
                 if len(shingles):
                     least = np.full(k, 2**32 - 1, dtype=np.uint32)
                     for at in range(0, len(shingles), 128):  # in blocks that fit the processor's cache

@@ -48,6 +48,8 @@ STREETS_JOINED = "straße strasse weg platz gasse allee ring ufer damm str.".spl
 _LETTER = r"[A-Za-zÀ-ÖØ-öø-ɏ]"
 _ODD = r"[^\x00-\x7f\s“”‘’–—…«»가-힣]"
 _CAP = rf"[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ɏ]|{_ODD})+"
+#: Quotation marks within a word are letters that were decoded wrongly.
+_ODD = rf"(?:{_ODD}|(?<=[a-z])[“”‘„‚](?=[a-z]))"
 _FAMILY = rf"(?:[A-ZÀ-ÖØ-Þ]|{_ODD})(?:{_LETTER}|{_ODD})+(?:-(?:[A-ZÀ-ÖØ-Þ]|{_ODD})(?:{_LETTER}|{_ODD})+)?"
 _NUMBER = r"\d{1,4}(?: ?(?:bis|ter|[a-f]))?(?![\w-])"
 _PATTERNS = {
