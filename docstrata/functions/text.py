@@ -24,6 +24,11 @@ def fold(text: Column) -> Column:
     return F.when(low.rlike("[à-ÿ]"), F.translate(low, FOLD_FROM, FOLD_TO)).otherwise(low)
 
 
+def fold_word(word: str) -> str:
+    """``fold`` of a word at hand, as in a question."""
+    return word.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))
+
+
 def tokens(text: Column) -> Column:
     """The folded words of a text in order; an empty array for null."""
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))

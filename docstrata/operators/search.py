@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docstrata.functions.text import TOKEN, cosine, fold, tokens
+from docstrata.functions.text import TOKEN, cosine, fold, fold_word, tokens
 
 #: BM25's parameters, the weight of the title against the text, and the least weight of a word.
 K1, B, TITLE_WEIGHT, LEAST_IDF = 1.2, 0.75, 3.0, 1e-6
@@ -46,9 +46,8 @@ def search_index(spark: SparkSession, path: str, queries: dict[str, list[str]])
     words of all queries are read in one scan. Frequencies are sums over the matching postings.
     """
     total = spark.read.parquet(f"{path}/totals").first()
-    asked = {(q, w) for q, words in queries.items() for w in words}
-    folded = spark.createDataFrame(sorted(asked), "query string, word string").select("query", fold(F.col("word")).alias("prefix")).distinct().collect()
-    prefixes = sorted({r.prefix for r in folded})
+    asked = sorted({(q, fold_word(w)) for q, words in queries.items() for w in words})
+    prefixes = sorted({p for _, p in asked})
     terms = spark.read.parquet(f"{path}/postings")
     if not prefixes or not total or not total.n:
         return terms.select(F.lit("").alias("query"), "chunk_id", F.lit(0.0).alias("score")).limit(0)
@@ -63,7 +62,7 @@ def search_index(spark: SparkSession, path: str, queries: dict[str, list[str]])
     idf = F.greatest(F.log((total.n - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(LEAST_IDF))
     share = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / mean))
     by_prefix = by_chunk.join(F.broadcast(held), "prefix").join(spark.read.parquet(f"{path}/lengths"), "chunk_id").select("prefix", "chunk_id", share.alias("share"))
-    wanted = spark.createDataFrame(folded, "query string, prefix string")
+    wanted = spark.createDataFrame(asked, "query string, prefix string")
     return by_prefix.join(F.broadcast(wanted), "prefix").groupBy("query", "chunk_id").agg(F.sum("share").alias("score"))
 
 
@@ -91,8 +90,7 @@ def bm25(chunks: DataFrame, words: list[str]) -> DataFrame:
 def bm25_many(chunks: DataFrame, queries: dict[str, list[str]]) -> DataFrame:
     """``query, chunk_id, score`` for several questions at once: the texts are read twice, however many there are."""
     spark = chunks.sparkSession
-    prefixes = {w: None for words in queries.values() for w in words}
-    folded = dict(zip(prefixes, spark.range(1).select(*[fold(F.lit(w)) for w in prefixes]).first() or [], strict=False)) if prefixes else {}
+    folded = {w: fold_word(w) for words in queries.values() for w in words}
     places = {p: i for i, p in enumerate(dict.fromkeys(folded.values()))}
     empty = spark.createDataFrame([], f"query string, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double")
     if not places:
