@@ -149,4 +149,5 @@ SELECT user_id AS source_id, min(ts) AS began, max(ts) AS last_change, count(*)
 )
 def debounced_changes(spark: SparkSession, directory: str) -> DataFrame:
     events = table(spark, directory, "events").select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return quiet_periods(events, "1 hour").select("source_id", "began", "last_change", "changes")
+    found = quiet_periods(events, "1 hour")
+    return found.select("source_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("began", "last_change")], "changes")

@@ -64,9 +64,11 @@ def content_ids(spark: SparkSession, directory: str) -> DataFrame:
     return files.withColumn("id", content_id(joined(F.col("snapshot_id"), F.col("path"))))
 
 
-@query("latest_loaded_files", f"WITH {ORDER} SELECT file_id, path, raw_hash, loaded_at FROM c")
+@query("latest_loaded_files", f"WITH {ORDER} SELECT file_id, path, raw_hash, epoch_us(loaded_at) AS loaded_us FROM c")
 def latest_loaded_files(spark: SparkSession, directory: str) -> DataFrame:
-    return sc.current_files(table(spark, directory, "kb_files")).select("file_id", "path", "raw_hash", "loaded_at")
+    return sc.current_files(table(spark, directory, "kb_files")).select(
+        "file_id", "path", "raw_hash", F.unix_micros("loaded_at").alias("loaded_us")
+    )
 
 
 @query(
@@ -260,11 +262,12 @@ def moved_commits(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(
     "latest_100_snapshots",
-    "SELECT DISTINCT snapshot_id, source_id, created_at FROM snapshots ORDER BY created_at DESC, snapshot_id LIMIT 100",
+    "SELECT DISTINCT snapshot_id, source_id, epoch_us(created_at) AS created_us FROM snapshots ORDER BY created_us DESC, snapshot_id LIMIT 100",
 )
 def latest_100_snapshots(spark: SparkSession, directory: str) -> DataFrame:
-    rows = table(spark, directory, "snapshots").select("snapshot_id", "source_id", "created_at").distinct()
-    return rows.orderBy(F.desc("created_at"), "snapshot_id").limit(100)
+    snapshots = table(spark, directory, "snapshots")
+    rows = snapshots.select("snapshot_id", "source_id", F.unix_micros("created_at").alias("created_us")).distinct()
+    return rows.orderBy(F.desc("created_us"), "snapshot_id").limit(100)
 
 
 @query(
