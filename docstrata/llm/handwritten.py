@@ -45,15 +45,29 @@ def _hash(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature) % DIMENSIONS
 
 
-def path_features(path: str) -> np.ndarray:
+def path_parts(path: str) -> list[str]:
     """Directory components without case and separators, parts and endings of the file name."""
     *dirs, name = path.replace("\\", "/").split("/")
-    found = [_hash(f"d:{re.sub(r'[^a-z0-9]', '', d.lower())}") for d in dirs]
+    found = {f"d:{re.sub(r'[^a-z0-9]', '', d.lower())}" for d in dirs}
     parts = re.split(r"[._-]", name.lower())
     parts[:-1] = ["#" if re.fullmatch(r"[0-9a-f]{2,}|[a-f]*\d[0-9a-f]*", p) else p for p in parts[:-1]]
-    found += [_hash(f"n:{p}") for p in parts[1:]] + [_hash(f"p:{parts[0]}")]
-    found += [_hash(f"x:{'.'.join(parts[-k:])}") for k in (2, 3) if len(parts) > k]
-    return np.unique(np.array(found or [_hash("")], dtype=np.int64))
+    found |= {f"n:{p}" for p in parts[1:]} | {f"p:{parts[0]}"}
+    return sorted(found | {f"x:{'.'.join(parts[-k:])}" for k in (2, 3) if len(parts) > k})
+
+
+class PathFeatures:
+    """Numbers for the parts of the sample's paths. Parts outside of it have none: first words of file names are endless,
+    and hashed to numbers some would meet those that matter."""
+
+    def __init__(self, paths: Iterable[str]):
+        self.numbers: dict[str, int] = {}
+        for path in paths:
+            for part in path_parts(path):
+                self.numbers.setdefault(part, len(self.numbers))
+
+    def __call__(self, path: str) -> np.ndarray:
+        found = [self.numbers.get(part, DIMENSIONS - 1) for part in path_parts(path)]
+        return np.array([n for n in found if n < DIMENSIONS - 1] or [DIMENSIONS - 1], dtype=np.int64)
 
 
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint64)
@@ -148,6 +162,7 @@ def seed_body(text: str) -> bool | None:
 
 @dataclass
 class Models:
+    parts: PathFeatures
     path: LinearSVM
     line: LinearSVM
     body: LinearSVM
@@ -155,7 +170,7 @@ class Models:
     held_out: dict[str, float]
 
     def by_path(self, path: str) -> bool:
-        return self.path.margin(path_features(path)) > 0
+        return self.path.margin(self.parts(path)) > 0
 
     def gives_away(self, line: str) -> bool:
         return self.line.margin(gram_features(line)) > 0
@@ -206,7 +221,8 @@ def train(paths: DataFrame, documents: DataFrame) -> Models:
     total = others.agg(F.approx_count_distinct("o").alias("n")).first().n
     negative = _thin(others, OTHER_PATHS, total).dropDuplicates(["repo", "path"]).orderBy("o", "repo", "path").limit(OTHER_PATHS)
     sample = positive.select("repo", "path", "seed").union(negative.select("repo", "path", "seed")).distinct().toPandas()
-    path, path_right = _fit([(str(r.repo), path_features(r.path), r.seed != "") for r in sample.itertuples()])
+    parts = PathFeatures(sample.path)
+    path, path_right = _fit([(str(r.repo), parts(r.path), r.seed != "") for r in sample.itertuples()])
 
     code = documents.where("lang IS NOT NULL AND text <> ''").select("repo", "text", "lang", order.alias("o"))
     hint = F.col("text").rlike(r"(?i)generated|do not |machine-made|automatically|verbatim|unmodified|licen[cs]e|[^\n]{250}|(?:0x[0-9a-fA-F]+, *){6}|[A-Za-z0-9+/]{60}")
@@ -225,7 +241,7 @@ def train(paths: DataFrame, documents: DataFrame) -> Models:
             bodies.append((str(repo), body_features(masked(text, _gives_away)), label))
     line, line_right = _fit([(repo, gram_features(x), y) for x, (repo, y) in lines.items()])
     body, body_right = _fit(bodies)
-    return Models(path, line, body, {"path": path_right, "line": line_right, "body": body_right})
+    return Models(parts, path, line, body, {"path": path_right, "line": line_right, "body": body_right})
 
 
 def not_handwritten_paths(files: DataFrame, models: Models) -> DataFrame:
