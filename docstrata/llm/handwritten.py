@@ -24,6 +24,8 @@ DIMENSIONS = 1 << 18
 #: Bounds of the training sample: rows of each seed of a path, other paths, documents.
 PER_SEED, OTHER_PATHS, TEXTS = 300, 12_000, 6_000
 PENALTY, EPOCHS = 10.0, 12
+#: What a body's margin must reach: the few lines of a file cut short say little.
+BODY_MARGIN = 0.25
 
 # Seeds, that is marks by which people and tools commonly name or head such files.
 SEED_DIRS = r"(?i)(?:^|/)(vendor|third[-_]?party|3rd[-_]?party|external|deps|node_modules|_?generated|autogen|gen|bower_components|dist-packages)/"
@@ -179,7 +181,7 @@ class Models:
         lines = [] if lang == "json" else comment_lines(text)
         if any(map(self.gives_away, lines)):
             return True
-        return self.body.margin(body_features(masked(text, lambda line: False))) > 0
+        return self.body.margin(body_features(masked(text, lambda line: False))) >= BODY_MARGIN
 
 
 def _fit(rows: list[tuple[str, np.ndarray, bool]]) -> tuple[LinearSVM, float]:
