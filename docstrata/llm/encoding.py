@@ -25,7 +25,7 @@ RUN = re.compile(r"[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
 SIGNS = "’“”–"
 _PLAIN = re.compile(rf"[A-Za-z{SIGNS}]+")
 _FAR = re.compile(r"(?<![A-Za-z])[A-Za-z]+(?=[A-Za-z])")
-LOST = "�"
+LOST, BOM = "�", "\ufeff"
 CONTROL = re.compile(r"[\x80-\x9f]")
 #: Encodings (Python's names) a text may have been read in, and written in.
 READ_AS = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp949")
@@ -34,6 +34,8 @@ WRITTEN_IN = ("utf-8", "cp1252", "cp437", "cp850", "mac_roman", "cp949")
 SIGN_ODDS, WORD_ODDS = math.log(50), math.log(12)
 #: Log odds against chance of each byte that fits UTF-8, in single-byte readings and in cp949's, and that fits Hangul.
 FITS, FITS_949, FITS_HANGUL = 1.4, 1.0, 0.5
+#: Log odds of a byte order mark, which nobody writes letter by letter.
+BOM_ODDS = 8.0
 HANGUL = re.compile("[가-힣]")
 WORDS = re.compile(r"[^\W\d_]{4}|[가-힣]{2}")
 #: Distinct characters that may be held in memory: Unicode has not so many.
@@ -92,9 +94,10 @@ def lattice(run: str, read_as: str) -> list[bytes | None] | None:
     return out
 
 
-def _ordinary(text: str) -> bool:
+def _ordinary(text: str, boxes: bool = False) -> bool:
+    """Whether a text holds only what people write: no controls, nothing unassigned, and line drawing only if ``boxes``."""
     return all(
-        c < "\x7f" or c == "\ufeff" or (unicodedata.category(c)[0] in "LMNPSZ" and not "─" <= c <= "▟" and c != LOST) for c in text
+        c < "\x7f" or c == BOM or (unicodedata.category(c)[0] in "LMNPSZ" and (boxes or not "─" <= c <= "▟") and c != LOST) for c in text
     )
 
 
@@ -150,11 +153,12 @@ def readings(piece: str, weight: dict[str, float]) -> list[tuple[str, str, float
             if written_in == read_as or LOST in run and written_in == "cp949" and read_as != "latin-1":
                 continue
             text = viterbi(nodes, written_in, weight)
-            if text is None or text == run or not _ordinary(text):
+            if text is None or text == run or not _ordinary(text, written_in == "utf-8"):
                 continue
             odds = 0.0
             if written_in == "utf-8":
                 odds = (FITS_949 if read_as == "cp949" else FITS) * sum(len(c.encode()) for c in text if c > "\x7f")
+                odds += BOM_ODDS * (BOM in text)
             elif written_in == "cp949":
                 odds = FITS_HANGUL * 2 * len(HANGUL.findall(text))
             if odds > found.get(text, ("", -1.0))[1]:

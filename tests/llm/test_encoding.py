@@ -16,12 +16,14 @@ def found(spark):
         "twice": "prüfen".encode().decode("cp1252").encode().decode("cp1252"),
         "cp1252 as cp1251": "Größe für den".encode("cp1252").decode("cp1251"),
         "lost": "f�r den Z�hler",
+        "mark": "\ufeffBoard".encode().decode("latin-1"),
+        "lines": "│".encode().decode("cp437"),
     }
     right = {
         "decoy letters": "Legend: Ä Ö Ü ß Ã Â â é ñ – all printable.",
         "decoy caps": "CHÂTEAU-ÂGÉ / NÃO / AÇÃO are legal labels.",
         "decoy script": "Частота 50 Гц, Ελάχιστη τάση",
-        "boxes": "┌────┬────┐",
+        "boxes": "┌────┬────┐ │ x",
         "null": None,
         "empty": "",
         "ascii": "plain text only",
