@@ -36,6 +36,8 @@ SIGN_ODDS, WORD_ODDS = math.log(50), math.log(12)
 FITS, FITS_949, FITS_HANGUL = 1.4, 1.0, 0.5
 #: Log odds of a byte order mark, which nobody writes letter by letter.
 BOM_ODDS = 8.0
+#: Letters of a word that is believed against any number of its damaged form, if the corpus has it and its bytes fit UTF-8.
+SURE = 3
 HANGUL = re.compile("[가-힣]")
 WORDS = re.compile(r"[^\W\d_]{4}|[가-힣]{2}")
 #: Distinct characters that may be held in memory: Unicode has not so many.
@@ -175,15 +177,17 @@ def readings(piece: str, weight: dict[str, float]) -> list[tuple[str, str, float
 def _piece_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         count: Counter[str] = Counter()
-        for text in batch.text:
-            if text is not None and not text.isascii():
-                count.update(set(pieces(text)))
-        yield pd.DataFrame(list(count.items()), columns=["piece", "n"])
+        distinct: Counter[str] = Counter()
+        for text, copies in zip(batch.text, batch.copies, strict=True):
+            found = set(pieces(text))
+            distinct.update(found)
+            count.update(dict.fromkeys(found, copies))
+        yield pd.DataFrame([(p, n, distinct[p]) for p, n in count.items()], columns=["piece", "n", "d"])
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"key": batch.piece.map(key), "n": batch.n}).groupby("key", as_index=False).sum()
+        yield pd.DataFrame({"key": batch.piece.map(key), "n": batch.n, "d": batch.d}).groupby("key", as_index=False).sum()
 
 
 def _masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,12 +239,18 @@ def _piece_rows(id_type: str):
 def damaged_pieces(texts: DataFrame) -> DataFrame:
     """``piece, restored, channel``: the pieces of ``texts`` (``text``) that only a wrong decoding explains.
 
-    ``restored`` and ``channel`` are null where nothing believable was found. Pieces are counted over all texts (partial
-    counts per batch, one shuffle); candidate readings are made once per distinct piece and joined with those counts.
-    Null, empty and ASCII texts have no pieces; no texts give no rows.
+    ``restored`` and ``channel`` are null where nothing believable was found. Pieces are counted over all texts and over all
+    distinct texts, and the count that speaks more for a reading holds, so that copies don't argue for their own damage
+    (partial counts per batch; non-ASCII texts are shuffled once by their copies). Candidate readings are made once per
+    distinct piece and joined with those counts. Null, empty and ASCII texts have no pieces; no texts give no rows.
     """
     counts = cut_lineage(
-        texts.select("text").mapInPandas(_piece_counts, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+        texts.where(F.col("text").rlike(r"[^\x00-\x7f]"))
+        .groupBy("text")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .mapInPandas(_piece_counts, "piece string, n long, d long")
+        .groupBy("piece")
+        .agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     )
     chars = (
         counts.select("n", F.explode(F.split("piece", "")).alias("c")).where("c > '\x7f'").groupBy("c").agg(F.sum("n").alias("n")).limit(CHARACTERS)
@@ -255,15 +265,16 @@ def damaged_pieces(texts: DataFrame) -> DataFrame:
             for piece, n in zip(batch.piece, batch.n, strict=True):
                 left, run, right = split(piece)
                 lost = LOST in run or CONTROL.search(run) is not None
-                rows.append((piece, n, lost, None, None, 0.0, key(piece), True))
+                rows.append((piece, n, lost, None, None, 0.0, key(piece), True, False))
                 for text, channel, odds in readings(piece, weight.value):
                     word = WORDS.search(text) is not None
-                    rows += [(piece, n, lost, text, channel, odds, key(p), word) for p in pieces(left + text + right, len(left), len(left + text))]
-            yield pd.DataFrame(rows, columns=["piece", "n", "lost", "restored", "channel", "odds", "key", "word"])
+                    sure = channel.startswith("utf-8") and LOST not in run and sum(map(str.isalpha, text)) >= SURE
+                    rows += [(piece, n, lost, text, channel, odds, key(p), word, sure) for p in pieces(left + text + right, len(left), len(left + text))]
+            yield pd.DataFrame(rows, columns=["piece", "n", "lost", "restored", "channel", "odds", "key", "word", "sure"])
 
-    schema = "piece string, n long, lost boolean, restored string, channel string, odds double, key string, word boolean"
+    schema = "piece string, n long, lost boolean, restored string, channel string, odds double, key string, word boolean, sure boolean"
     read_out = counts.mapInPandas(read, schema)
-    keys = counts.mapInPandas(_keyed, "key string, n long").groupBy("key").agg(F.sum("n").alias("known"))
+    keys = counts.mapInPandas(_keyed, "key string, n long, d long").groupBy("key").agg(F.sum("n").alias("known"), F.sum("d").alias("known_once"))
     scored = (
         read_out.join(keys, "key", "left")
         .groupBy("piece", "restored")
@@ -272,17 +283,20 @@ def damaged_pieces(texts: DataFrame) -> DataFrame:
             F.first("channel").alias("channel"),
             F.max("odds").alias("odds"),
             F.min("word").alias("word"),
+            F.min("sure").alias("sure"),
             F.min(F.coalesce("known", F.lit(0))).alias("known"),
+            F.min(F.coalesce("known_once", F.lit(0))).alias("known_once"),
         )
     )
-    here = scored.where("restored IS NULL").select("piece", F.col("known").alias("here"), "lost")
+    here = scored.where("restored IS NULL").select("piece", F.col("known").alias("here"), F.col("known_once").alias("here_once"), "lost")
+    share = lambda known, here: F.log(F.col(known) + 0.5) - F.log(F.col(here) + 0.5)
     likely = (
         scored.where("restored IS NOT NULL")
         .drop("lost")
         .join(here.drop("lost"), "piece")
-        .withColumn("score", F.log(F.col("known") + 0.5) - F.log(F.col("here") + 0.5) + F.col("odds"))
+        .withColumn("score", F.greatest(share("known", "here"), share("known_once", "here_once")) + F.col("odds"))
         .withColumn("sign", ~F.col("word") & ~F.col("channel").startswith("utf-8"))
-        .where(F.col("score") >= F.when(F.col("sign"), F.lit(SIGN_ODDS)).otherwise(F.lit(WORD_ODDS)))
+        .where((F.col("sure") & (F.col("known") > 0)) | (F.col("score") >= F.when(F.col("sign"), F.lit(SIGN_ODDS)).otherwise(F.lit(WORD_ODDS))))
     )
     # A sign of single bytes counts only where its channel has damaged words too: at most one row a pair of encodings.
     channels = likely.where("word").groupBy("channel").agg(F.lit(True).alias("seen"))

@@ -62,3 +62,12 @@ def test_viterbi_fills_lost_bytes():
 def test_no_texts(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert en.damaged_pieces(none).count() == 0
+
+
+def test_copies_do_not_argue_for_their_damage(spark):
+    bad, short = "le réseau".encode().decode("latin-1"), "für 25".encode().decode("latin-1")
+    rows = [(f"g{i}", f"le réseau {i}, für 25", "") for i in range(3)]
+    rows += [(f"c{i}", bad, "") for i in range(300)] + [(f"n{i}", f"{bad} {i}", "") for i in range(30)] + [(f"s{i}", f"{short} {i}", "") for i in range(30)]
+    texts = spark.createDataFrame(rows, SCHEMA)
+    found = {r.id: r.text for r in en.restored(texts, en.damaged_pieces(texts)).collect()}
+    assert len(found) == 360 and found["c7"] == "le réseau" and found["n7"] == "le réseau 7" and found["s7"] == "für 25 7"
