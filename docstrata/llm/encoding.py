@@ -2,7 +2,7 @@
 
 A piece is a run of letters and non-ASCII characters with a little of what stands around it. For each encoding it may
 have been read in, a piece gives a lattice of bytes (lost characters are wildcards); for each encoding it may have been
-written in, a Viterbi search over that lattice gives the likeliest text. The text is believed if the whole corpus writes
+written in, a Viterbi search over that lattice gives the likeliest texts. A text is believed if the whole corpus writes
 it much more often than what stands there, or if its bytes fit the stricter encoding as chance would hardly have it.
 """
 
@@ -13,6 +13,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from heapq import merge
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,6 +42,8 @@ BOM_ODDS = 8.0
 SURE = 3
 HANGUL = re.compile("[가-힣]")
 WORDS = re.compile(r"[^\W\d_]{4}|[가-힣]{2}")
+#: Texts kept of a lattice with lost bytes: as many as one lost byte of UTF-8 has values.
+PATHS = 64
 #: Distinct characters that may be held in memory: Unicode has not so many.
 CHARACTERS = 0x110000
 
@@ -103,74 +107,115 @@ def _ordinary(text: str, boxes: bool = False) -> bool:
     )
 
 
-def viterbi(nodes: list[bytes | None], written_in: str, weight: dict[str, float]) -> str | None:
-    """The likeliest text of a byte lattice under character weights (log probabilities); wildcards stand for one byte.
-
-    Without wildcards only one text fits. With them each place keeps the best text up to it, over all characters whose
+class Characters:
+    """Character weights (log probabilities) by the bytes a character has in an encoding; each window is looked up once."""
+
+    def __init__(self, weight: dict[str, float]):
+        self.weight = weight
+        self.coded: dict[str, dict[int, list[tuple[str, bytes]]]] = {}
+        self.held: dict[tuple[str, int, int, int], list[tuple[str, bytes]]] = {}
+        self.found: dict[tuple[str, tuple[int | None, ...]], list[tuple[str, float]]] = {}
+
+    def lengths(self, written_in: str) -> dict[int, list[tuple[str, bytes]]]:
+        if written_in not in self.coded:
+            coded = self.coded[written_in] = {1: []}
+            for c in sorted(self.weight, key=lambda c: (-self.weight[c], c)):
+                try:
+                    b = c.encode(written_in)
+                except UnicodeEncodeError:
+                    continue
+                coded.setdefault(len(b), []).append((c, b))
+                for i, x in enumerate(b):
+                    self.held.setdefault((written_in, len(b), i, x), []).append((c, b))
+        return self.coded[written_in]
+
+    def fitting(self, written_in: str, window: tuple[int | None, ...]) -> list[tuple[str, float]]:
+        """The PATHS likeliest characters that agree with the known bytes of ``window``, likeliest first."""
+        if len(window) == 1 and window[0] is not None and window[0] < 128:
+            return [(chr(window[0]), -3.0)]
+        if (found := self.found.get((written_in, window))) is None:
+            known = [(i, x) for i, x in enumerate(window) if x is not None]
+            lists = [self.held.get((written_in, len(window), i, x), []) for i, x in known]
+            chars = min(lists, key=len) if lists else self.lengths(written_in).get(len(window), [])
+            fits = ((c, self.weight[c]) for c, b in chars if all(b[i] == x for i, x in known))
+            if len(self.found) > 100_000:
+                self.found.clear()
+            found = self.found[written_in, window] = list(islice(fits, PATHS))
+        return found
+
+
+def paths(nodes: list[bytes | None], written_in: str, chars: Characters) -> list[str]:
+    """The PATHS likeliest texts of a byte lattice under character weights, likeliest first; wildcards stand for one byte.
+
+    Without wildcards only one text fits. With them each place keeps the best texts up to it, over all characters whose
     bytes in ``written_in`` agree with the known bytes there.
     """
     if None not in nodes:
         try:
-            return b"".join(nodes).decode(written_in)  # type: ignore[arg-type]
+            return [b"".join(nodes).decode(written_in)]  # type: ignore[arg-type]
         except UnicodeDecodeError:
-            return None
+            return []
     cells: list[int | None] = [b for n in nodes for b in ([None] if n is None else n)]
-    coded: dict[int, list[tuple[str, bytes]]] = {}
-    for c in weight:
-        try:
-            b = c.encode(written_in)
-        except UnicodeEncodeError:
-            continue
-        coded.setdefault(len(b), []).append((c, b))
-    best: list[tuple[float, str] | None] = [(0.0, "")] + [None] * len(cells)
-    for i in range(len(cells)):
-        if best[i] is None:
-            continue
-        total, text = best[i]
-        for n, chars in coded.items():
-            if i + n > len(cells):
-                continue
-            window = cells[i : i + n]
-            if n == 1 and window[0] is not None and window[0] < 128:
-                options = [(chr(window[0]), -3.0)]
-            else:
-                options = [
-                    (c, weight[c]) for c, b in chars if all(w is None or w == x for w, x in zip(window, b, strict=True))
-                ]
-            for c, w in options:
-                if best[i + n] is None or best[i + n][0] < total + w:
-                    best[i + n] = (total + w, text + c)
-    return best[-1][1] if best[-1] else None
+    lengths = chars.lengths(written_in)
+
+    def longer(before: tuple[float, str], options: list[tuple[str, float]]) -> Iterator[tuple[float, str]]:
+        return ((before[0] + w, before[1] + c) for c, w in options)
 
+    best: list[list[tuple[float, str]]] = [[(0.0, "")]]
+    for j in range(1, len(cells) + 1):
+        options = {n: chars.fitting(written_in, tuple(cells[j - n : j])) for n in lengths if n <= j and best[j - n]}
+        more = [longer(before, found) for n, found in options.items() if found for before in best[j - n]]
+        best.append(list(islice(merge(*more, key=lambda x: -x[0]), PATHS)))
+    return [text for _, text in best[-1]]
 
-def readings(piece: str, weight: dict[str, float]) -> list[tuple[str, str, float]]:
-    """``(text, channel, odds)`` of each text a damaged piece may have had, once or twice misread."""
+
+def viterbi(nodes: list[bytes | None], written_in: str, weight: dict[str, float]) -> str | None:
+    """The likeliest of ``paths``."""
+    return next(iter(paths(nodes, written_in, Characters(weight))), None)
+
+
+def _attested(text: str, nodes: list[bytes | None], written_in: str) -> int:
+    """How many known bytes of a lattice stand in the non-ASCII characters of ``text``, a path through it."""
+    cells = [x is not None for n in nodes for x in ([None] if n is None else n)]
+    at = known = 0
+    for c in text:
+        n = len(c.encode(written_in))
+        known += sum(cells[at : at + n]) if c > "\x7f" else 0
+        at += n
+    return known
+
+
+def readings(piece: str, chars: Characters) -> list[tuple[str, str, float]]:
+    """``(text, channel, odds)`` of each text a damaged piece may have had, once or twice misread.
+
+    Lost bytes are no evidence for any reading: they give no odds, and a run of nothing but lost bytes has no readings.
+    """
     left, run, right = split(piece)
     found: dict[str, tuple[str, float]] = {}
     for read_as in READ_AS:
         nodes = lattice(run, read_as)
-        if nodes is None:
+        if nodes is None or not any(nodes):
             continue
         for written_in in WRITTEN_IN:
             if written_in == read_as or LOST in run and written_in == "cp949" and read_as != "latin-1":
                 continue
-            text = viterbi(nodes, written_in, weight)
-            if text is None or text == run or not _ordinary(text, written_in == "utf-8"):
-                continue
-            odds = 0.0
-            if written_in == "utf-8":
-                odds = (FITS_949 if read_as == "cp949" else FITS) * sum(len(c.encode()) for c in text if c > "\x7f")
-                odds += BOM_ODDS * (BOM in text)
-            elif written_in == "cp949":
-                odds = FITS_HANGUL * 2 * len(HANGUL.findall(text))
-            if odds > found.get(text, ("", -1.0))[1]:
-                found[text] = (f"{written_in}>{read_as}", odds)
-            if written_in == "utf-8" and LOST not in run:
-                for again in READ_AS[:2]:
-                    inner = lattice(text, again)
-                    twice = viterbi(inner, "utf-8", weight) if inner else None
-                    if twice is not None and twice != text and _ordinary(twice):
-                        found[twice] = (f"utf-8>{again}>{read_as}", odds + 2.0)
+            for text in paths(nodes, written_in, chars):
+                if text == run or not _ordinary(text, written_in == "utf-8"):
+                    continue
+                odds = 0.0
+                if written_in == "utf-8":
+                    odds = (FITS_949 if read_as == "cp949" else FITS) * _attested(text, nodes, written_in)
+                    odds += BOM_ODDS * (BOM in text and LOST not in run)
+                elif written_in == "cp949":
+                    odds = FITS_HANGUL * (_attested(text, nodes, written_in) if LOST in run else 2 * len(HANGUL.findall(text)))
+                if odds > found.get(text, ("", -1.0))[1]:
+                    found[text] = (f"{written_in}>{read_as}", odds)
+                if written_in == "utf-8" and LOST not in run:
+                    for again in READ_AS[:2]:
+                        inner = lattice(text, again)
+                        for twice in paths(inner, "utf-8", chars) if inner else []:
+                            if twice != text and _ordinary(twice):
+                                found[twice] = (f"utf-8>{again}>{read_as}", odds + 2.0)
     return [(t, channel, odds) for t, (channel, odds) in found.items()]
 
 
@@ -257,16 +302,17 @@ def damaged_pieces(texts: DataFrame) -> DataFrame:
     )
     held = {r.c: r.n for r in chars.collect() if r.c != LOST and not CONTROL.match(r.c)}
     total = sum(held.values()) or 1
-    weight = counts.sparkSession.sparkContext.broadcast({c: math.log(n / total) for c, n in held.items() if n * 10_000 > total})
+    shared = counts.sparkSession.sparkContext.broadcast({c: math.log(n / total) for c, n in held.items() if n * 10_000 > total})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chars = Characters(shared.value)
         for batch in batches:
             rows = []
             for piece, n in zip(batch.piece, batch.n, strict=True):
                 left, run, right = split(piece)
                 lost = LOST in run or CONTROL.search(run) is not None
                 rows.append((piece, n, lost, None, None, 0.0, key(piece), True, False))
-                for text, channel, odds in readings(piece, weight.value):
+                for text, channel, odds in readings(piece, chars):
                     word = WORDS.search(text) is not None
                     sure = channel.startswith("utf-8") and LOST not in run and sum(map(str.isalpha, text)) >= SURE
                     rows += [(piece, n, lost, text, channel, odds, key(p), word, sure) for p in pieces(left + text + right, len(left), len(left + text))]
@@ -296,6 +342,8 @@ def damaged_pieces(texts: DataFrame) -> DataFrame:
         .join(here.drop("lost"), "piece")
         .withColumn("score", F.greatest(share("known", "here"), share("known_once", "here_once")) + F.col("odds"))
         .withColumn("sign", ~F.col("word") & ~F.col("channel").startswith("utf-8"))
+        # What fills lost bytes must itself be known: nothing else tells it from an invention.
+        .where((F.col("known") > 0) | ~F.col("piece").contains(LOST))
         .where((F.col("sure") & (F.col("known") > 0)) | (F.col("score") >= F.when(F.col("sign"), F.lit(SIGN_ODDS)).otherwise(F.lit(WORD_ODDS))))
     )
     # A sign of single bytes counts only where its channel has damaged words too: at most one row a pair of encodings.

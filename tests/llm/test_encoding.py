@@ -71,3 +71,19 @@ def test_copies_do_not_argue_for_their_damage(spark):
     texts = spark.createDataFrame(rows, SCHEMA)
     found = {r.id: r.text for r in en.restored(texts, en.damaged_pieces(texts)).collect()}
     assert len(found) == 360 and found["c7"] == "le réseau" and found["n7"] == "le réseau 7" and found["s7"] == "für 25 7"
+
+
+def test_lost_bytes_are_not_invented(spark):
+    rows = [(f"g{i}", f"가가 나무 tâche réseau {i}", "") for i in range(40)]
+    rows += [("all", "x ���� y", ""), ("eight", "x �������� y", ""), ("word", "le rÃ�seau", ""), ("none", "le zqÃ�vbx", "")]
+    texts = spark.createDataFrame(rows, SCHEMA)
+    found = {r.id: (r.text, r.lost) for r in en.restored(texts, en.damaged_pieces(texts)).collect()}
+    assert found["all"] == ("x ���� y", True) and found["eight"] == ("x �������� y", True)
+    assert found["word"] == ("le réseau", False)
+    assert found["none"] == ("le zqÃ�vbx", True)
+
+
+def test_all_likely_texts_of_a_lattice():
+    chars = en.Characters({"ü": -1.0, "é": -2.0, "가": -1.5})
+    assert en.paths([b"f", None, b"r"], "cp1252", chars) == ["für", "fér"]
+    assert en.paths([None, None, None], "utf-8", chars) == ["가"]
