@@ -302,7 +302,7 @@ def damaged_pieces(texts: DataFrame) -> DataFrame:
     )
     held = {r.c: r.n for r in chars.collect() if r.c != LOST and not CONTROL.match(r.c)}
     total = sum(held.values()) or 1
-    shared = counts.sparkSession.sparkContext.broadcast({c: math.log(n / total) for c, n in held.items() if n * 10_000 > total})
+    shared = counts.sparkSession.sparkContext.broadcast({c: math.log(n / total) for c, n in held.items()})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chars = Characters(shared.value)

@@ -87,3 +87,11 @@ def test_all_likely_texts_of_a_lattice():
     chars = en.Characters({"ü": -1.0, "é": -2.0, "가": -1.5})
     assert en.paths([b"f", None, b"r"], "cp1252", chars) == ["für", "fér"]
     assert en.paths([None, None, None], "utf-8", chars) == ["가"]
+
+
+def test_rare_characters_fill_lost_bytes(spark):
+    words = " ".join(f"é{a}{b}xyz" for a in "abcdefgh" for b in "abcdefgh")
+    rows = [(f"g{i}", f"{words} {i}", "") for i in range(1000)] + [(f"r{i}", f"le goûter {i}", "") for i in range(5)] + [("lost", "le goÃ�ter", "")]
+    texts = spark.createDataFrame(rows, SCHEMA)
+    found = {r.id: (r.text, r.lost) for r in en.restored(texts, en.damaged_pieces(texts)).collect()}
+    assert found == {"lost": ("le goûter", False)}
