@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import zipfile
+import zlib
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only after a count shows at most so many rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only after a count shows at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 @functools.cache
@@ -42,24 +46,58 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted size permits it, else unmarked: Spark then shuffles (with AQE's skew join)."""
-    return F.broadcast(df) if has_at_most(df, rows) else df
+    """``df`` marked for broadcast if its counted rows and bytes permit it, else unmarked: Spark then shuffles (with AQE's
+    skew join). Arrays and structs count by their JSON text."""
+    width = [F.lit(8) if t in ("bigint", "int", "double", "timestamp", "boolean", "smallint", "date") else _width(c, t) for c, t in df.dtypes]
+    held = df.limit(rows + 1).select(sum(width, F.lit(0)).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).first()
+    return F.broadcast(df) if held.n <= rows and (held.w or 0) <= BROADCAST_BYTES else df
+
+
+def _width(column: str, kind: str) -> Column:
+    text = F.col(f"`{column}`") if kind in ("string", "binary") else F.to_json(F.array(F.col(f"`{column}`")))
+    return F.coalesce(F.octet_length(text), F.lit(0)) + 8
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the reliable checkpoint folder and continues from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where none is set (tests, a laptop)
-    a folder below the warehouse directory is used.
+    The folder is the one the session names in ``spark.checkpoint.dir``; only where none is set on one machine (tests, a
+    laptop) a folder below the warehouse directory is used.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        )
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors reach: ``spark.checkpoint.dir``; where it is unset, an error unless Spark runs on one
+    machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
+def written_once(df: DataFrame, name: str, write: Callable[[str], None]) -> str:
+    """The path below the shared folder where ``write`` has put what is derived from the files that ``df`` reads.
+
+    The path is named by the number, sizes and times of those files, so a changed table is derived anew, and each later
+    question of any session finds what is there. A write that was not finished has no ``_DONE`` table and is done again.
+    """
+    spark = df.sparkSession
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.sum("file_size"), F.max("file_modification_time"), F.sum(F.xxhash64("file_path").cast("decimal(38,0)"))).first()
+    path = f"{shared_folder(spark).rstrip('/')}/derived/{name}-{zlib.crc32(repr((state, df.columns)).encode()):08x}"
+    try:
+        spark.read.parquet(f"{path}/_DONE.parquet")
+    except AnalysisException:
+        write(path)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/_DONE.parquet")
+    return path
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)

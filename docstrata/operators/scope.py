@@ -45,10 +45,20 @@ def in_scope(
     return kept.join(small_side(scope.select("snapshot_id").distinct()), "snapshot_id", "left_semi")
 
 
+def files_of(files: DataFrame, scope: DataFrame, **given: str | None) -> DataFrame:
+    """The current files of the snapshots in ``scope`` that meet every given filter.
+
+    A file id names its snapshot, so the scope cuts the rows where they are read, before rows delivered twice are shuffled
+    together; the other filters hold for what was loaded last.
+    """
+    kept = current_files(in_scope(files, scope))
+    return reduce(lambda d, kv: d.where(F.col(kv[0]) == kv[1]) if kv[1] else d, given.items(), kept)
+
+
 def coverage(files: DataFrame, snapshots: DataFrame, scope: DataFrame) -> DataFrame:
     """``source_id, documents, failed``: files in scope and diagnostics of its snapshots, per source."""
     errors = snapshots.dropDuplicates(["snapshot_id"]).select("snapshot_id", F.coalesce(F.size("errors"), F.lit(0)).alias("failed"))
-    counts = current_files(files).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("documents"))
+    counts = files_of(files, scope).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("documents"))
     return (
         scope.join(errors, "snapshot_id", "left")
         .join(counts, "snapshot_id", "left")

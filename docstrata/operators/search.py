@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docstrata.functions.text import TOKEN, cosine, fold, fold_word, tokens
+from docstrata.common import written_once
+from docstrata.functions.text import TOKEN, cosine, fold, fold_word, query_words, tokens
 
 #: BM25's parameters, the weight of the title against the text, and the least weight of a word.
 K1, B, TITLE_WEIGHT, LEAST_IDF = 1.2, 0.75, 3.0, 1e-6
@@ -16,31 +20,55 @@ KEYWORD_HITS, VECTOR_HITS, RRF = 40, 48, 60
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``term, chunk_id, tf_title, tf_text``: the inverted index, to be written clustered by term.
+    """``term, chunk_id, tf_title, tf_text, dl``: the inverted index; ``dl`` is the number of words of the whole chunk.
 
-    Written sorted by ``term``, a prefix search reads only the row groups whose range holds the prefix.
+    A chunk's words are counted where it is read, so the shuffle carries one row per different word of a chunk.
     """
-    terms = chunks.select("chunk_id", F.explode(tokens(F.col("title"))).alias("term"), F.lit(1).alias("t"), F.lit(0).alias("x")).union(
-        chunks.select("chunk_id", F.explode(tokens(F.col("text"))), F.lit(0), F.lit(1))
+    words = chunks.select("chunk_id", tokens(F.col("title")).alias("t"), tokens(F.col("text")).alias("x"))
+    terms = words.select(
+        "chunk_id",
+        (F.size("t") + F.size("x")).alias("dl"),
+        F.explode(F.concat(F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(1).alias("t"))), F.transform("x", lambda w: F.struct(w.alias("term"), F.lit(0).alias("t"))))).alias("w"),
     )
-    return terms.groupBy("term", "chunk_id").agg(F.sum("t").alias("tf_title"), F.sum("x").alias("tf_text"))
+    return terms.groupBy(F.col("w.term").alias("term"), "chunk_id", "dl").agg(
+        F.sum("w.t").alias("tf_title"), F.sum(1 - F.col("w.t")).alias("tf_text")
+    ).select("term", "chunk_id", "tf_title", "tf_text", "dl")
 
 
 def write_postings(chunks: DataFrame, path: str) -> None:
+    """Written sorted by term, a prefix search reads only the row groups whose range holds the prefix."""
     postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
-    """Writes postings, lengths and totals of ``chunks`` below ``path``, for ``search_index``."""
+    """Writes postings, terms and totals of ``chunks`` below ``path``, for ``search_index`` and ``answers``."""
+    spark = chunks.sparkSession
     write_postings(chunks, f"{path}/postings")
-    lengths = chunk_lengths(chunks.sparkSession.read.parquet(f"{path}/postings"))
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    held = chunks.sparkSession.read.parquet(f"{path}/lengths").agg(F.sum("dl").alias("words"))
-    held.withColumn("n", F.lit(chunks.count())).write.mode("overwrite").parquet(f"{path}/totals")
+    held = spark.read.parquet(f"{path}/postings")
+    held.groupBy("term").agg(F.count(F.lit(1)).alias("chunks")).write.mode("overwrite").parquet(f"{path}/terms")
+    words = held.agg(F.sum(F.col("tf_title") + F.col("tf_text")).alias("words"))
+    words.withColumn("n", F.lit(chunks.count())).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def index_of(chunks: DataFrame, name: str) -> str:
+    """The path of the index of ``chunks`` (``chunk_id, title, text``, straight from a table), written when first asked for."""
+    return written_once(chunks, f"index-{name}", lambda path: write_index(chunks, path))
+
+
+def _shares(by_chunk: DataFrame, held: DataFrame, n: int, words: int) -> DataFrame:
+    """``prefix, chunk_id, share``: what each prefix gives to the score of each chunk (``f`` its frequency there)."""
+    mean = words / n if words else 1.0
+    idf = F.greatest(F.log((n - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(LEAST_IDF))
+    share = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / mean))
+    return by_chunk.join(held, "prefix").select("prefix", "chunk_id", share.alias("share"))
+
+
+def _by_chunk(found: DataFrame) -> DataFrame:
+    return found.groupBy("prefix", "chunk_id").agg(F.sum(TITLE_WEIGHT * F.col("tf_title") + F.col("tf_text")).alias("f"), F.first("dl").alias("dl"))
 
 
 def search_index(spark: SparkSession, path: str, queries: dict[str, list[str]]) -> DataFrame:
-    """``query, chunk_id, score`` as ``bm25_many`` gives them, from a written index.
+    """``query, chunk_id, score`` as ``bm25_many`` gives them, from a written index; for questions at hand.
 
     Prefixes reach the scan as filters on the sorted term column, so only the row groups that hold them are read; all
     words of all queries are read in one scan. Frequencies are sums over the matching postings.
@@ -54,20 +82,42 @@ def search_index(spark: SparkSession, path: str, queries: dict[str, list[str]])
     found = terms.where(reduce(lambda a, b: a | b, [F.col("term").startswith(p) for p in prefixes])).select(
         "chunk_id",
         F.explode(F.array_compact(F.array(*[F.when(F.col("term").startswith(p), F.lit(p)) for p in prefixes]))).alias("prefix"),
-        (TITLE_WEIGHT * F.col("tf_title") + F.col("tf_text")).alias("f"),
+        "tf_title",
+        "tf_text",
+        "dl",
     )
-    by_chunk = found.groupBy("prefix", "chunk_id").agg(F.sum("f").alias("f"))
+    by_chunk = _by_chunk(found)
     held = by_chunk.groupBy("prefix").agg(F.count(F.lit(1)).alias("d"))
-    mean = total.words / total.n
-    idf = F.greatest(F.log((total.n - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(LEAST_IDF))
-    share = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / mean))
-    by_prefix = by_chunk.join(F.broadcast(held), "prefix").join(spark.read.parquet(f"{path}/lengths"), "chunk_id").select("prefix", "chunk_id", share.alias("share"))
     wanted = spark.createDataFrame(asked, "query string, prefix string")
-    return by_prefix.join(F.broadcast(wanted), "prefix").groupBy("query", "chunk_id").agg(F.sum("share").alias("score"))
+    shares = _shares(by_chunk, F.broadcast(held), total.n, total.words)  # at most a row a word asked for
+    return shares.join(F.broadcast(wanted), "prefix").groupBy("query", "chunk_id").agg(F.sum("share").alias("score"))
 
 
-def chunk_lengths(index: DataFrame) -> DataFrame:
-    return index.groupBy("chunk_id").agg(F.sum(F.col("tf_title") + F.col("tf_text")).alias("dl"))
+def answers(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
+    """``query, chunk_id, score``: every hit of every question of a table (``query``, ``text``), from a written index.
+
+    A question's words are ``query_words`` of its text, folded, each a prefix. Words meet the index's terms by an equi-join
+    on all beginnings of the terms (one row a term, not a posting), terms meet the postings, and what a prefix gives a
+    chunk is worked out once however many questions hold it. Common words are long lists that AQE's skew join splits.
+    Questions without words, and an empty index, have no hits.
+    """
+    total = spark.read.parquet(f"{path}/totals").first()
+    words = questions.select("query", F.explode(query_words(fold(F.coalesce("text", F.lit(""))))).alias("prefix")).distinct()
+    terms = spark.read.parquet(f"{path}/terms").select(
+        "term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring(F.col("term"), F.lit(1), i))).alias("prefix")
+    )
+    pairs = terms.join(words.select("prefix").distinct(), "prefix")
+    by_chunk = _by_chunk(spark.read.parquet(f"{path}/postings").join(pairs, "term"))
+    held = by_chunk.groupBy("prefix").agg(F.count(F.lit(1)).alias("d"))
+    shares = _shares(by_chunk, held, max(1, total.n), total.words or 0)
+    return words.join(shares, "prefix").groupBy("query", "chunk_id").agg(F.sum("share").alias("score"))
+
+
+def best(hits: DataFrame, k: int, *order: Column | str) -> DataFrame:
+    """The first ``k`` hits of each query with their ``rank``: by score, then ``order``. Spark cuts each task's rows to ``k``
+    a query before they are shuffled."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), *order))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _count(folded: Column, prefix: str) -> Column:
@@ -147,38 +197,83 @@ def vector_hits(vectors: DataFrame, query: list[float], k: int = VECTOR_HITS) ->
     return vectors.select("vec_id", score.alias("score")).where("score IS NOT NULL").orderBy(F.desc(F.round("score", 9)), "vec_id").limit(k)
 
 
-def fuse(keyword: DataFrame, vector: DataFrame, key: str, k: int = 8) -> DataFrame:
-    """``key, score, channels``: reciprocal-rank fusion of two rankings (``key, rank`` from 1), the best ``k``.
+#: Query vectors that are sent to all tasks at once.
+BLOCK = 10_000
 
-    A hit of both channels gets both shares; ties go by key. An empty side leaves the other's order.
+
+def vector_answers(vectors: DataFrame, queries: DataFrame, k: int = VECTOR_HITS, block: int = BLOCK) -> DataFrame:
+    """``query, vec_id, score, rank``: for each row of ``queries`` (``query, embedding``) the ``k`` vectors of greatest
+    cosine, exactly, ties by id.
+
+    Queries go out in blocks of about ``block`` by a hash of their id, each multiplied with all vectors where they are
+    read; a task keeps ``k`` of each query and batch. Null and zero vectors, and those of another dimension, score nothing.
     """
-    a = keyword.select(key, F.col("rank").alias("ka"))
-    b = vector.select(key, F.col("rank").alias("vb"))
-    share = lambda c: F.coalesce(F.lit(1.0) / (F.lit(RRF) + F.col(c)), F.lit(0.0))
+    id_type, query_type = dict(vectors.dtypes)["vec_id"], dict(queries.dtypes)["query"]
+    blocks = max(1, -(-queries.count() // block))
+    found = []
+    for b in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).where("embedding IS NOT NULL").toPandas()
+        for size, some in asked.groupby(asked.embedding.map(len)):
+            found.append(_block_hits(vectors, some["query"].to_numpy(), _unit(some.embedding.tolist()), int(size), k, id_type, query_type))
+    if not found:
+        return vectors.select(F.lit(None).cast(query_type).alias("query"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return best(reduce(DataFrame.union, found), k, "vec_id")
+
+
+def _unit(rows: list) -> np.ndarray:
+    """Rows of length 1; those without length become NaN."""
+    m = np.asarray(rows, dtype=np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def _block_hits(vectors: DataFrame, names: np.ndarray, matrix: np.ndarray, size: int, k: int, id_type: str, query_type: str) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, matrix = shared.value
+        for batch in batches:
+            batch = batch.sort_values("vec_id", kind="stable")
+            scores = _unit(batch.embedding.tolist()) @ matrix.T
+            ids = batch.vec_id.to_numpy()
+            for q, name in enumerate(names):
+                right = np.flatnonzero(~np.isnan(scores[:, q]))
+                order = right[np.argsort(-np.round(scores[right, q], 9), kind="stable")[:k]]
+                yield pd.DataFrame({"query": [name] * len(order), "vec_id": ids[order], "score": scores[order, q]})
+
     return (
-        a.join(b, key, "full_outer")
-        .select(
-            key,
-            (share("ka") + share("vb")).alias("score"),
-            F.array_compact(F.array(F.when(F.col("ka").isNotNull(), F.lit("keyword")), F.when(F.col("vb").isNotNull(), F.lit("vector")))).alias("channels"),
-        )
-        .orderBy(F.desc(F.round("score", 12)), key)
-        .limit(k)
+        vectors.select("vec_id", "embedding")
+        .where(F.size("embedding") == size)
+        .mapInPandas(run, f"query {query_type}, vec_id {id_type}, score double")
     )
 
 
-def ranked(hits: DataFrame, *order: Column) -> DataFrame:
-    """``hits`` with ``rank`` from 1. Only for the few rows of a top-k result: the window has one partition."""
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def fuse(keyword: DataFrame, vector: DataFrame, key: str, k: int = 8) -> DataFrame:
+    """``query, key, score, channels, place``: reciprocal-rank fusion of two rankings (``query, key, rank`` from 1), the best
+    ``k`` of each query.
+
+    A hit of both channels gets both shares; ties go by key. An empty side leaves the other's order.
+    """
+    a = keyword.select("query", key, F.col("rank").alias("ka"))
+    b = vector.select("query", key, F.col("rank").alias("vb"))
+    share = lambda c: F.coalesce(F.lit(1.0) / (F.lit(RRF) + F.col(c)), F.lit(0.0))
+    fused = a.join(b, ["query", key], "full_outer").select(
+        "query",
+        key,
+        (share("ka") + share("vb")).alias("score"),
+        F.array_compact(F.array(F.when(F.col("ka").isNotNull(), F.lit("keyword")), F.when(F.col("vb").isNotNull(), F.lit("vector")))).alias("channels"),
+    )
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), key))
+    return fused.withColumn("place", place).where(F.col("place") <= k)
 
 
 def context(hits: DataFrame, per_document: int = 2, most: int = 5, budget: int = 2_900) -> DataFrame:
-    """``hits`` (``document, rank, tokens``) that fit a prompt: per document the first few, in all ``most``, and only
+    """``hits`` (``query, document, rank, tokens``) that fit a prompt: per document the first few, in all ``most``, and only
     while they fit the budget; a hit that doesn't fit is skipped, not the end.
 
-    The running budget is a fold over at most a few dozen ranked hits, done as one array expression.
+    The running budget is a fold over the few ranked hits of a query, done as one array expression.
     """
-    first = hits.withColumn("_n", F.row_number().over(Window.partitionBy("document").orderBy("rank"))).where(F.col("_n") <= per_document)
+    first = hits.withColumn("_n", F.row_number().over(Window.partitionBy("query", "document").orderBy("rank"))).where(F.col("_n") <= per_document)
     rows = F.array_sort(F.collect_list(F.struct("rank", "document", "tokens")))
     nothing = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
     taken = F.aggregate(
@@ -189,5 +284,5 @@ def context(hits: DataFrame, per_document: int = 2, most: int = 5, budget: int =
             F.struct((s["used"] + r["tokens"]).cast("long").alias("used"), F.concat(s["taken"], F.array(r["rank"].cast("int"))).alias("taken")),
         ).otherwise(s),
     )
-    chosen = first.agg(taken["taken"].alias("taken")).select(F.explode("taken").alias("rank"))
-    return hits.join(chosen, "rank", "left_semi")
+    chosen = first.groupBy("query").agg(taken["taken"].alias("taken")).select("query", F.explode("taken").alias("rank"))
+    return hits.join(chosen, ["query", "rank"], "left_semi")

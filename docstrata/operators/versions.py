@@ -14,38 +14,27 @@ def aligned(before: DataFrame, after: DataFrame, key: str = "logical_key", conte
 
     Files with a key that either side holds more than once are ``ambiguous``, each in a row of its own; the others are
     ``added``, ``removed``, ``modified`` or ``unchanged``. Null contents are equal to each other only. Null keys align
-    with each other as one key. Sides are counted by partial aggregation, so a hot key costs no more than another.
+    with each other as one key. Both sides are counted in one partial aggregation, so a hot key costs no more than another.
     """
 
-    def side(files: DataFrame, name: str) -> DataFrame:
-        return files.groupBy(key).agg(
-            F.count(F.lit(1)).alias(f"{name}_n"), F.min("file_id").alias(f"{name}_id"), F.min(content).alias(f"{name}_content")
-        )
-
-    a, b = side(before, "before"), side(after, "after").withColumnRenamed(key, "_key")
-    both = a.join(b, a[key].eqNullSafe(F.col("_key")), "full_outer").withColumn("k", F.coalesce(key, "_key"))
-    unclear = (F.coalesce("before_n", F.lit(0)) > 1) | (F.coalesce("after_n", F.lit(0)) > 1)
-    plain = both.where(~unclear).select(
-        F.col("k").alias(key),
-        "before_id",
-        "after_id",
-        F.when(F.col("before_n").isNull(), "added")
-        .when(F.col("after_n").isNull(), "removed")
-        .when(F.col("before_content").eqNullSafe(F.col("after_content")), "unchanged")
-        .otherwise("modified")
-        .alias("status"),
+    sides = [files.select(F.col(key).alias("_key"), "file_id", F.col(content).alias("_content"), F.lit(i).alias("_side")) for i, files in enumerate((before, after))]
+    rows = cut_lineage(sides[0].union(sides[1]))
+    of = lambda side, value: F.min(F.when(F.col("_side") == side, F.col(value)))
+    keys = rows.groupBy("_key").agg(
+        F.count_if(F.col("_side") == 0).alias("a"), F.count_if(F.col("_side") == 1).alias("b"),
+        of(0, "file_id").alias("before_id"), of(1, "file_id").alias("after_id"), of(0, "_content").alias("old"), of(1, "_content").alias("new"),
+    )
+    clear = (F.col("a") <= 1) & (F.col("b") <= 1)
+    status = F.when(F.col("a") == 0, "added").when(F.col("b") == 0, "removed").when(F.col("old").eqNullSafe(F.col("new")), "unchanged").otherwise("modified")
+    plain = keys.where(clear).select(F.col("_key").alias(key), "before_id", "after_id", status.alias("status"))
+    unclear = keys.where(~clear).select(F.col("_key").alias("_unclear"))
+    ambiguous = rows.join(unclear, F.col("_key").eqNullSafe(F.col("_unclear")), "left_semi").select(
+        F.col("_key").alias(key),
+        F.when(F.col("_side") == 0, F.col("file_id")).alias("before_id"),
+        F.when(F.col("_side") == 1, F.col("file_id")).alias("after_id"),
+        F.lit("ambiguous").alias("status"),
     )
-    keys = both.where(unclear).select(F.col("k").alias("_key"))
-    ambiguous = [
-        files.join(keys, files[key].eqNullSafe(F.col("_key")), "left_semi").select(
-            key,
-            (F.col("file_id") if name == "before" else F.lit(None).cast("string")).alias("before_id"),
-            (F.col("file_id") if name == "after" else F.lit(None).cast("string")).alias("after_id"),
-            F.lit("ambiguous").alias("status"),
-        )
-        for name, files in (("before", before), ("after", after))
-    ]
-    return plain.unionByName(ambiguous[0]).unionByName(ambiguous[1])
+    return plain.unionByName(ambiguous)
 
 
 def table_texts(chunks: DataFrame) -> DataFrame:

@@ -13,11 +13,10 @@ from docstrata.plans.content import words
 from docstrata.plans.register import query
 from docstrata.plans.versions import ORDER
 
-QUERY = ["clock", "controller", "reset", "48"]
 ROUND = 6
 
 
-def bm25_sql(rel: str, key: str, prefixes: list[str] = QUERY) -> str:
+def bm25_sql(rel: str, key: str, prefixes: list[str]) -> str:
     """CTEs ending in ``hits(key, score)``: BM25 of ``rel`` as ``search.bm25`` scores it."""
     n = range(len(prefixes))
     count = lambda c, p: f"len(list_filter({c}, lambda w: starts_with(w, '{p}')))"
@@ -49,108 +48,164 @@ def postings(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-@query("bm25_topk", f"WITH {bm25_sql('chunks', 'chunk_id')} SELECT chunk_id, round(score, {ROUND}) AS score FROM hits ORDER BY round(score, 9) DESC, chunk_id LIMIT 40")
+def _documents(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "documents").select(F.col("doc_id").alias("chunk_id"), "title", "text")
+
+
+def _index(spark: SparkSession, directory: str, name: str) -> str:
+    """The written index of a table, made when it is first asked for."""
+    chunks = _documents(spark, directory) if name == "documents" else table(spark, directory, name).select("chunk_id", "title", "text")
+    return se.index_of(chunks, name)
+
+
+#: The questions of all searches: the titles of the documents, and the vectors, whose id is divisible by 20.
+ASKED = "doc_id % 20 = 0"
+
+
+def _questions(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "documents").where(ASKED).select(F.col("doc_id").alias("query"), F.col("title").alias("text"))
+
+
+def _vectors(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, directory, "embeddings")
+    return vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+
+
+def answers_sql(rel: str, key: str) -> str:
+    """CTEs ending in ``hits(query, key, score)``: BM25 of ``rel`` for all questions, as ``search.answers`` scores it."""
+    return f"""
+qw AS (SELECT doc_id AS query, {words("title")} AS l FROM documents WHERE {ASKED}),
+qd AS (SELECT query, list_filter(l, lambda x, i: list_position(l, x) = i)[1:24] AS l FROM qw),
+qp AS (SELECT query, unnest(list_filter(l, lambda x: length(x) > 1 OR regexp_matches(x, '^[A-Za-z0-9]$'))) AS p FROM qd),
+w AS (SELECT {key}, {words("title")} AS t, {words("text")} AS x FROM {rel}),
+g AS (SELECT count(*) AS n, avg(len(t) + len(x)) AS mean FROM w),
+ow AS (SELECT {key}, unnest(t) AS term, 3.0 AS f, len(t) + len(x) AS dl FROM w UNION ALL SELECT {key}, unnest(x), 1.0, len(t) + len(x) FROM w),
+po AS (SELECT term, {key}, sum(f) AS f, min(dl) AS dl FROM ow GROUP BY term, {key}),
+pt AS (SELECT p, term FROM (SELECT DISTINCT p FROM qp) JOIN (SELECT DISTINCT term FROM po) ON starts_with(term, p)),
+pk AS (SELECT p, {key}, sum(f) AS f, min(dl) AS dl FROM po JOIN pt USING (term) GROUP BY p, {key}),
+ph AS (SELECT p, count(*) AS d FROM pk GROUP BY p),
+sh AS (SELECT p, {key}, greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean)) AS share FROM pk JOIN ph USING (p), g),
+hits AS (SELECT query, {key}, sum(share) AS score FROM qp JOIN sh USING (p) GROUP BY query, {key})
+"""
+
+
+def _rank(order: str, rank: str = "rank") -> str:
+    return f"row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, {order}) AS {rank}"
+
+
+VECTOR_SQL = """
+vq AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+vs AS (SELECT query, vec_id, label, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS score FROM embeddings, vq)
+"""
+
+
+@query("bm25_topk", f"WITH {answers_sql('chunks', 'chunk_id')} SELECT query, chunk_id, round(score, {ROUND}) AS score, {_rank('chunk_id')} FROM hits QUALIFY rank <= 40")
 def bm25_topk(spark: SparkSession, directory: str) -> DataFrame:
-    hits = se.bm25(table(spark, directory, "chunks"), QUERY)
-    return hits.orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(40).withColumn("score", F.round("score", ROUND))
+    hits = se.answers(spark, _index(spark, directory, "chunks"), _questions(spark, directory))
+    return se.best(hits, se.KEYWORD_HITS, "chunk_id").withColumn("score", F.round("score", ROUND))
 
 
-@query("bm25_all_hits", f"WITH {bm25_sql('documents', 'doc_id')} SELECT doc_id, round(score, {ROUND}) AS score FROM hits")
+@query("bm25_all_hits", f"WITH {answers_sql('documents', 'doc_id')} SELECT query, doc_id, round(score, {ROUND}) AS score FROM hits")
 def bm25_all_hits(spark: SparkSession, directory: str) -> DataFrame:
-    documents = table(spark, directory, "documents").select(F.col("doc_id").alias("chunk_id"), "title", "text")
-    return se.bm25(documents, QUERY).select(F.col("chunk_id").alias("doc_id"), F.round("score", ROUND).alias("score"))
+    hits = se.answers(spark, _index(spark, directory, "documents"), _questions(spark, directory))
+    return hits.select("query", F.col("chunk_id").alias("doc_id"), F.round("score", ROUND).alias("score"))
 
 
 @query(
     "bm25_scoped_topk",
     f"""
-WITH {ORDER}, {bm25_sql('chunks', 'chunk_id')}
-SELECT c.file_id, chunks.chunk_id, c.path, CAST(chunks.ordinal AS INTEGER) AS ordinal, round(score, {ROUND}) AS score
-FROM hits JOIN chunks USING (chunk_id) JOIN c ON c.parsed_key = chunks.parsed_key JOIN o ON o.snapshot_id = c.snapshot_id AND idx = last
-WHERE c.role = 'spec' ORDER BY round(score, 9) DESC, c.path, chunks.ordinal, c.file_id LIMIT 40
+WITH {ORDER}, {answers_sql('chunks', 'chunk_id')},
+f AS (SELECT query, c.file_id, chunks.chunk_id, c.path, CAST(chunks.ordinal AS INTEGER) AS ordinal, score
+FROM hits JOIN chunks USING (chunk_id) JOIN c ON c.parsed_key = chunks.parsed_key JOIN o ON o.snapshot_id = c.snapshot_id AND idx = last WHERE c.role = 'spec')
+SELECT query, file_id, chunk_id, path, ordinal, round(score, {ROUND}) AS score, {_rank('path, ordinal, file_id')} FROM f QUALIFY rank <= 40
 """,
 )
 def bm25_scoped_topk(spark: SparkSession, directory: str) -> DataFrame:
     """Statistics are those of all chunks; the scope is applied to occurrences before the limit."""
     chunks = table(spark, directory, "chunks")
     latest = sc.latest_snapshots(table(spark, directory, "snapshots"))
-    files = sc.in_scope(sc.current_files(table(spark, directory, "kb_files")), latest, role="spec")
-    found = se.keyword_hits(se.occurrences(se.bm25(chunks, QUERY), chunks, files))
-    return found.select("file_id", "chunk_id", "path", "ordinal", F.round("score", ROUND).alias("score"))
-
-
-FIRST = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
-
-
-def _first(spark: SparkSession, directory: str) -> tuple[DataFrame, list[float]]:
-    vectors = table(spark, directory, "embeddings")
-    return vectors, list(vectors.where("vec_id = 0").first().embedding)
+    files = sc.files_of(table(spark, directory, "kb_files"), latest, role="spec")
+    places = chunks.select("chunk_id", "parsed_key", "ordinal").join(files.select("file_id", "parsed_key", "path"), "parsed_key")
+    hits = se.answers(spark, _index(spark, directory, "chunks"), _questions(spark, directory)).join(places, "chunk_id")
+    return se.best(hits, se.KEYWORD_HITS, "path", "ordinal", "file_id").select(
+        "query", "file_id", "chunk_id", "path", "ordinal", F.round("score", ROUND).alias("score"), "rank"
+    )
 
 
-@query(
-    "vector_topk",
-    f"SELECT vec_id, round(s, {ROUND}) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {FIRST}::DOUBLE[]) AS s FROM embeddings) "
-    "ORDER BY round(s, 9) DESC, vec_id LIMIT 48",
-)
+@query("vector_topk", f"WITH {VECTOR_SQL} SELECT query, vec_id, round(score, {ROUND}) AS score, {_rank('vec_id')} FROM vs QUALIFY rank <= 48")
 def vector_topk(spark: SparkSession, directory: str) -> DataFrame:
-    vectors, first = _first(spark, directory)
-    return se.vector_hits(vectors, first).withColumn("score", F.round("score", ROUND))
+    return se.vector_answers(*_vectors(spark, directory)).withColumn("score", F.round("score", ROUND))
 
 
 @query(
     "vector_filtered_topk",
-    f"SELECT vec_id, round(s, {ROUND}) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {FIRST}::DOUBLE[]) AS s FROM embeddings WHERE label IN (3, 7)) "
-    "ORDER BY round(s, 9) DESC, vec_id LIMIT 48",
+    f"WITH {VECTOR_SQL} SELECT query, vec_id, round(score, {ROUND}) AS score, {_rank('vec_id')} FROM vs WHERE label IN (3, 7) QUALIFY rank <= 48",
 )
 def vector_filtered_topk(spark: SparkSession, directory: str) -> DataFrame:
     """The filter comes before the limit, so that no place is lost to vectors out of scope."""
-    vectors, first = _first(spark, directory)
-    return se.vector_hits(vectors.where(F.col("label").isin(3, 7)), first).withColumn("score", F.round("score", ROUND))
+    vectors, asked = _vectors(spark, directory)
+    return se.vector_answers(vectors.where(F.col("label").isin(3, 7)), asked).withColumn("score", F.round("score", ROUND))
 
 
 @query(
     "rrf_hybrid",
     f"""
-WITH {bm25_sql('documents', 'doc_id')},
-a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits QUALIFY rank <= 40),
-v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], {FIRST}::DOUBLE[]), 9) DESC, vec_id) AS rank
-      FROM embeddings QUALIFY rank <= 48)
-SELECT coalesce(a.doc_id, v.doc_id) AS doc_id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + v.rank), 0), 9) AS score,
+WITH {answers_sql('documents', 'doc_id')}, {VECTOR_SQL},
+a AS (SELECT query, doc_id, {_rank('doc_id')} FROM hits QUALIFY rank <= 40),
+v AS (SELECT query, vec_id AS doc_id, {_rank('vec_id')} FROM vs QUALIFY rank <= 48),
+z AS (SELECT coalesce(a.query, v.query) AS query, coalesce(a.doc_id, v.doc_id) AS doc_id, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + v.rank), 0) AS score,
   concat_ws(',', CASE WHEN a.rank IS NOT NULL THEN 'keyword' END, CASE WHEN v.rank IS NOT NULL THEN 'vector' END) AS channels
-FROM a FULL JOIN v ON a.doc_id = v.doc_id ORDER BY round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + v.rank), 0), 12) DESC, 1 LIMIT 20
+  FROM a FULL JOIN v ON a.doc_id = v.doc_id AND a.query = v.query)
+SELECT query, doc_id, round(score, 9) AS score, channels, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, doc_id) AS place FROM z QUALIFY place <= 20
 """,
 )
 def rrf_hybrid(spark: SparkSession, directory: str) -> DataFrame:
-    documents = table(spark, directory, "documents").select(F.col("doc_id").alias("chunk_id"), "title", "text")
-    best = se.bm25(documents, QUERY).orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(40)
-    keyword = se.ranked(best.withColumnRenamed("chunk_id", "doc_id"), F.desc(F.round("score", 9)), F.col("doc_id"))
-    vectors, first = _first(spark, directory)
-    vector = se.ranked(se.vector_hits(vectors, first).withColumnRenamed("vec_id", "doc_id"), F.desc(F.round("score", 9)), F.col("doc_id"))
+    hits = se.answers(spark, _index(spark, directory, "documents"), _questions(spark, directory))
+    keyword = se.best(hits, se.KEYWORD_HITS, "chunk_id").withColumnRenamed("chunk_id", "doc_id")
+    vector = se.vector_answers(*_vectors(spark, directory)).withColumnRenamed("vec_id", "doc_id")
     fused = se.fuse(keyword, vector, "doc_id", 20)
-    return fused.select("doc_id", F.round("score", 9).alias("score"), F.array_join("channels", ",").alias("channels"))
+    return fused.select("query", "doc_id", F.round("score", 9).alias("score"), F.array_join("channels", ",").alias("channels"), "place")
 
 
 @query(
     "hydrated_hits",
     f"""
-WITH v AS (SELECT vec_id FROM embeddings ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], {FIRST}::DOUBLE[]), 9) DESC, vec_id LIMIT 48)
-SELECT doc_id, path, title, role, board FROM documents WHERE doc_id IN (SELECT vec_id FROM v)
+WITH {VECTOR_SQL}, v AS (SELECT query, vec_id, {_rank('vec_id')} FROM vs QUALIFY rank <= 48)
+SELECT query, doc_id, path, title, role, board FROM documents JOIN v ON doc_id = vec_id
 """,
 )
 def hydrated_hits(spark: SparkSession, directory: str) -> DataFrame:
-    vectors, first = _first(spark, directory)
-    ids = se.vector_hits(vectors, first).select(F.col("vec_id").alias("doc_id"))
-    return table(spark, directory, "documents").select("doc_id", "path", "title", "role", "board").join(F.broadcast(ids), "doc_id", "left_semi")
+    hits = se.vector_answers(*_vectors(spark, directory)).select("query", F.col("vec_id").alias("doc_id"))
+    return table(spark, directory, "documents").select("doc_id", "path", "title", "role", "board").join(hits, "doc_id")
+
+
+CONTEXT = 900
 
 
-@query("prompt_context")
+@query(
+    "prompt_context",
+    f"""
+WITH RECURSIVE {answers_sql('chunks', 'chunk_id')},
+b AS (SELECT query, chunk_id, score, {_rank('chunk_id')} FROM hits QUALIFY rank <= 12),
+r AS (SELECT query, rank, chunk_id, parsed_key AS document, CAST(greatest(1, ceil(length(text) / 3.0)) AS BIGINT) AS tokens FROM b JOIN chunks USING (chunk_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS i
+      FROM (SELECT *, row_number() OVER (PARTITION BY query, document ORDER BY rank) AS nth FROM r) WHERE nth <= 2),
+u AS (
+  SELECT query, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, 0 AS taken, false AS fits FROM (SELECT DISTINCT query FROM f)
+  UNION ALL
+  SELECT u.query, f.i, CASE WHEN taken < 5 AND used + tokens <= {CONTEXT} THEN used + tokens ELSE used END,
+    CASE WHEN taken < 5 AND used + tokens <= {CONTEXT} THEN taken + 1 ELSE taken END, taken < 5 AND used + tokens <= {CONTEXT}
+  FROM u JOIN f ON f.query = u.query AND f.i = u.i + 1
+)
+SELECT query, rank, chunk_id, document, tokens FROM f JOIN u USING (query, i) WHERE fits
+""",
+)
 def prompt_context(spark: SparkSession, directory: str) -> DataFrame:
-    """The best 12 chunks for a question, at most two of a document and five in all, within the token budget."""
-    chunks = table(spark, directory, "chunks")
-    best = se.bm25(chunks, QUERY).orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(12)
-    rows = best.join(chunks.select("chunk_id", F.col("parsed_key").alias("document"), token_estimate(F.col("text")).alias("tokens")), "chunk_id")
-    found = se.context(se.ranked(rows, F.desc(F.round("score", 9)), F.col("chunk_id")), budget=900)
-    return found.select("rank", "chunk_id", "document", "tokens")
+    """For each question the best 12 chunks, of these at most two of a document and five in all, within the token budget."""
+    chunks = table(spark, directory, "chunks").select("chunk_id", F.col("parsed_key").alias("document"), token_estimate(F.col("text")).alias("tokens"))
+    hits = se.answers(spark, _index(spark, directory, "chunks"), _questions(spark, directory))
+    rows = se.best(hits, 12, "chunk_id").join(chunks, "chunk_id")
+    return se.context(rows, budget=CONTEXT).select("query", "rank", "chunk_id", "document", "tokens")
 
 
 @query("texts_without_embedding", "SELECT doc_id FROM documents WHERE text <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -169,5 +224,5 @@ BATCH = {"q1": ["watchdog", "timer"], "q2": ["flash", "bank"], "q3": ["busvertei
     ),
 )
 def bm25_batch(spark: SparkSession, directory: str) -> DataFrame:
-    """Five questions in one pass over the texts: the shape of the concurrent-query benchmark."""
-    return se.bm25_many(table(spark, directory, "chunks"), BATCH).withColumn("score", F.round("score", ROUND))
+    """Five questions in one pass over the index: the shape of the concurrent-query benchmark."""
+    return se.search_index(spark, _index(spark, directory, "chunks"), BATCH).withColumn("score", F.round("score", ROUND))

@@ -44,12 +44,8 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _now_and_before(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    files = sc.current_files(table(spark, directory, "kb_files"))
-    snapshots = table(spark, directory, "snapshots")
-    return (
-        sc.in_scope(files, sc.latest_snapshots(snapshots)),
-        sc.in_scope(files, sc.latest_snapshots(snapshots, 1)),
-    )
+    files, snapshots = table(spark, directory, "kb_files"), table(spark, directory, "snapshots")
+    return sc.files_of(files, sc.latest_snapshots(snapshots)), sc.files_of(files, sc.latest_snapshots(snapshots, 1))
 
 
 @query(
@@ -93,9 +89,8 @@ WHERE c.role = 'spec' AND c.board = 'NX-A' AND c.module_id = 'M_SPEC'
 """,
 )
 def scope_filter(spark: SparkSession, directory: str) -> DataFrame:
-    files = sc.current_files(table(spark, directory, "kb_files"))
     latest = sc.latest_snapshots(table(spark, directory, "snapshots"))
-    return sc.in_scope(files, latest, module_id="M_SPEC", role="spec", board="NX-A").select("file_id", "path")
+    return sc.files_of(table(spark, directory, "kb_files"), latest, module_id="M_SPEC", role="spec", board="NX-A").select("file_id", "path")
 
 
 @query(
@@ -227,9 +222,8 @@ r AS (SELECT logical_key, before_id, after_id, CASE WHEN xn IS NULL THEN 'added'
 
 @query("compare_status", STATUS + "SELECT logical_key, before_id, after_id, status FROM r")
 def compare_status(spark: SparkSession, directory: str) -> DataFrame:
-    files = sc.current_files(table(spark, directory, "kb_files"))
-    snapshots = table(spark, directory, "snapshots")
-    return ve.aligned(sc.in_scope(files, sc.first_snapshots(snapshots)), sc.in_scope(files, sc.latest_snapshots(snapshots)))
+    files, snapshots = table(spark, directory, "kb_files"), table(spark, directory, "snapshots")
+    return ve.aligned(sc.files_of(files, sc.first_snapshots(snapshots)), sc.files_of(files, sc.latest_snapshots(snapshots)))
 
 
 @query("compare_status_counts", STATUS + "SELECT status, count(*) AS files FROM r GROUP BY status")
@@ -280,7 +274,7 @@ SELECT path, file_id, (SELECT count(*) FROM f) AS total, (SELECT count(*) > 200
 def preview_200(spark: SparkSession, directory: str) -> DataFrame:
     snapshots = table(spark, directory, "snapshots")
     latest = sc.latest_snapshots(snapshots).where("source_id = 'src1'")
-    files = sc.current_files(sc.in_scope(table(spark, directory, "kb_files"), latest))
+    files = sc.files_of(table(spark, directory, "kb_files"), latest)
     total = files.agg(F.count(F.lit(1)).alias("n")).first().n
     first = files.select("path", "file_id").orderBy("path", "file_id").limit(200)
     return first.withColumn("total", F.lit(total).cast("long")).withColumn("truncated", F.lit(total > 200))

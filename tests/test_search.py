@@ -61,17 +61,55 @@ def test_vectors(spark):
     assert [r.vec_id for r in se.vector_hits(table, [2.0, 1.0], 3).collect()] == [1, 2, 3]
 
 
+def test_vector_answers_equal_single_questions(spark):
+    r = random.Random(8)
+    rows = [(i, [r.choice([0.0, 1.0, 2.0, -1.0]) for _ in range(3)]) for i in range(60)] + [(90, None), (91, [1.0]), (92, [0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    asked = table.where("vec_id % 10 = 0 OR vec_id > 89").selectExpr("vec_id AS query", "embedding")
+    got = {}
+    for row in se.vector_answers(table, asked, 7, block=4).collect():
+        got.setdefault(row.query, {})[row["rank"]] = row.vec_id
+    want = {i: [h.vec_id for h in se.vector_hits(table, v, 7).collect()] for i, v in rows if v and any(v) and (i % 10 == 0 or i > 89)}
+    assert {q: [ids[n] for n in sorted(ids)] for q, ids in got.items()} == want
+    assert se.vector_answers(table.limit(0), asked, 3).count() == se.vector_answers(table, asked.limit(0), 3).count() == 0
+
+
+def test_answers_equal_single_questions(chunks, spark, tmp_path):
+    asked = {1: "Clock uart", 2: "w b", 3: "", 4: None, 5: "nothing there", 6: "clo clock clockwork"}
+    se.write_index(chunks[1], str(tmp_path))
+    questions = spark.createDataFrame(list(asked.items()), "query long, text string")
+    got = {(r.query, r.chunk_id): r.score for r in se.answers(spark, str(tmp_path), questions).collect()}
+    want = {(q, r.chunk_id): r.score for q, t in asked.items() for r in se.bm25(chunks[1], (t or "").split()).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert se.answers(spark, str(tmp_path), questions.limit(0)).count() == 0
+
+
+def test_an_empty_index_answers_nothing(chunks, spark, tmp_path):
+    se.write_index(chunks[1].limit(0), str(tmp_path))
+    questions = spark.createDataFrame([(1, "clock")], "query long, text string")
+    assert se.answers(spark, str(tmp_path), questions).count() == se.search_index(spark, str(tmp_path), {"a": ["clock"]}).count() == 0
+
+
+def test_index_is_written_once_and_again_for_changed_files(chunks, spark, tmp_path):
+    chunks[1].limit(3).write.parquet(str(tmp_path / "t"))
+    table = lambda: spark.read.parquet(str(tmp_path / "t")).select("chunk_id", "title", "text")
+    first = se.index_of(table(), "t")
+    assert se.index_of(table(), "t") == first
+    chunks[1].limit(2).write.mode("append").parquet(str(tmp_path / "t"))
+    assert se.index_of(table(), "t") != first
+
+
 def test_fusion(spark):
-    a = spark.createDataFrame([("x", 1), ("y", 2)], "k string, rank int")
-    b = spark.createDataFrame([("y", 1), ("z", 2)], "k string, rank int")
-    got = se.fuse(a, b, "k").collect()
+    a = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "query int, k string, rank int")
+    b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "query int, k string, rank int")
+    got = se.fuse(a, b, "k").orderBy("place").collect()
     assert [r.k for r in got] == ["y", "x", "z"]
     assert got[0].channels == ["keyword", "vector"] and got[0].score == pytest.approx(1 / 61 + 1 / 62)
-    assert [r.k for r in se.fuse(a, b.limit(0), "k").collect()] == ["x", "y"]
+    assert [r.k for r in se.fuse(a, b.limit(0), "k").orderBy("place").collect()] == ["x", "y"]
 
 
 def test_context_skips_what_does_not_fit(spark):
-    rows = [("d1", 1, 1000), ("d1", 2, 1000), ("d1", 3, 10), ("d2", 4, 1500), ("d3", 5, 800), ("d4", 6, 50), ("d5", 7, 50), ("d6", 8, 1)]
-    hits = spark.createDataFrame(rows, "document string, rank int, tokens long")
+    rows = [(7, *r) for r in [("d1", 1, 1000), ("d1", 2, 1000), ("d1", 3, 10), ("d2", 4, 1500), ("d3", 5, 800), ("d4", 6, 50), ("d5", 7, 50), ("d6", 8, 1)]]
+    hits = spark.createDataFrame(rows, "query int, document string, rank int, tokens long")
     assert sorted(r["rank"] for r in se.context(hits).collect()) == [1, 2, 5, 6, 7]
     assert se.context(hits.limit(0)).count() == 0
