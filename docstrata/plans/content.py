@@ -86,27 +86,41 @@ def markdown_titles(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "documents").select("doc_id", tx.markdown_title(F.col("text"), F.col("path")).alias("title"))
 
 
-def _re2(pattern: str) -> str:
-    """A pattern as a DuckDB string."""
-    return "'" + pattern.replace("'", "''") + "'"
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-BUILD = (
-    f"(CASE WHEN regexp_matches(path, {_re2(tx.BUILD_FILE)}) THEN true WHEN regexp_matches(path, {_re2(tx.IMPLEMENTATION)}) THEN false "
-    f"ELSE regexp_matches(path, {_re2(tx.BUILD_PATH)}) OR regexp_matches(coalesce(text, ''), {_re2(tx.BUILD_SETTING)}) "
-    f"OR (regexp_matches(coalesce(text, ''), {_re2(tx.BUILD_CONTEXT)}) AND regexp_matches(coalesce(text, ''), {_re2(tx.BUILD_DISPOSITION)})) END)"
-)
+def _either(tests: list[str]) -> str:
+    return "(" + " OR ".join(tests) + ")"
+
+
+#: The SQL of ``text.is_build_document``, as the column ``build`` of the relation ``b``.
+BUILD = rf"""
+b0 AS (SELECT doc_id, role, lower(path) AS p, lower(string_split(replace(path, '', '/'), '/')[-1]) AS name, lower(coalesce(text, '')) AS t FROM documents),
+b1 AS (SELECT *, string_split_regex(p, '[/\_.-]') AS parts, regexp_extract_all(t, '[a-z0-9_]+') AS words, regexp_replace(t, '\s+', ' ', 'g') AS spaced,
+  regexp_replace(t, '배포\s+', '배포', 'g') AS close, regexp_extract_all(t, '{tx.SETTING.replace("'", "''")}', 1) AS sn, regexp_extract_all(t, '{tx.SETTING.replace("'", "''")}', 2) AS sv,
+  regexp_extract_all(t, '{tx.CALL}', 1) AS cn, regexp_extract_all(t, '{tx.CALL}', 2) AS ca, regexp_extract_all(t, '{tx.CALL}', 3) AS cb FROM b0),
+b AS (SELECT doc_id, role, coalesce(CASE
+  WHEN name IN {tuple(tx.BUILD_NAMES)} OR {_either([f"starts_with(name, '{x}')" for x in tx.BUILD_BEGINNINGS] + [f"ends_with(name, '{x}')" for x in tx.BUILD_ENDINGS])} THEN true
+  WHEN regexp_extract(name, '(\.[^.]+)$', 1) IN {tuple(tx.IMPLEMENTATION)} THEN false
+  ELSE list_has_any(parts, {_list(tx.BUILD_PATH_WORDS)})
+    OR len(list_filter(range(1, len(sn) + 1), lambda i: (starts_with(sn[i], '{tx.SETTING_BEGINNING}') OR {_either([f"ends_with(sn[i], '{x}')" for x in tx.SETTING_ENDINGS])}) AND list_contains({_list(tx.SETTING_VALUES)}, sv[i]))) > 0
+    OR len(list_filter(range(1, len(cn) + 1), lambda i: list_contains({_list(tx.TARGET_CALLS)}, cn[i]) OR (list_contains({_list(tx.SWITCHES)}, cn[i]) AND ca[i] <> '' AND list_contains({_list(tx.SWITCH_VALUES)}, cb[i])))) > 0
+    OR ((list_has_any(words, {_list(tx.BUILD_WORDS)}) OR {_either([f"contains(spaced, '{x}')" for x in tx.BUILD_PHRASES] + [f"contains(close, '{x}')" for x in tx.BUILD_KOREAN])})
+      AND (list_has_any(words, {_list(tx.DISPOSITION_WORDS)}) OR {_either([f"contains(t, '{x}')" for x in tx.DISPOSITION_KOREAN])}))
+  END, false) AS build FROM b1)
+"""
 
 
-@query("build_documents", f"SELECT doc_id FROM documents WHERE {BUILD}")
+@query("build_documents", f"WITH {BUILD} SELECT doc_id FROM b WHERE build")
 def build_documents(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "documents").where(tx.is_build_document(F.col("path"), F.col("text"))).select("doc_id")
 
 
 @query(
     "feature_candidates",
-    f"SELECT DISTINCT doc_id, CASE WHEN {BUILD} THEN 'build' ELSE 'code' END AS kind FROM documents "
-    f"WHERE (role = 'code' AND NOT {BUILD}) OR (role IN ('code', 'reference') AND {BUILD})",
+    f"WITH {BUILD} SELECT DISTINCT doc_id, CASE WHEN build THEN 'build' ELSE 'code' END AS kind FROM b "
+    "WHERE (role = 'code' AND NOT build) OR (role IN ('code', 'reference') AND build)",
 )
 def feature_candidates(spark: SparkSession, directory: str) -> DataFrame:
     build = tx.is_build_document(F.col("path"), F.col("text"))
@@ -162,12 +176,12 @@ def table_texts(spark: SparkSession, directory: str) -> DataFrame:
 @query(
     "cited_chunks",
     "SELECT c.chunk_id, h.start_line AS hunk_start FROM chunks c JOIN chunks h ON c.parsed_key = h.parsed_key "
-    "AND c.start_line <= h.start_line + 3 AND c.end_line >= h.start_line WHERE h.start_line IS NOT NULL AND h.ordinal % 2 = 0",
+    "AND c.start_line <= h.start_line + 3 AND c.end_line >= h.start_line WHERE h.start_line IS NOT NULL",
 )
 def cited_chunks(spark: SparkSession, directory: str) -> DataFrame:
-    """Hunks of four lines from the start of every other chunk, and the chunks they touch."""
+    """Hunks of four lines from the start of every chunk, and the chunks they touch."""
     chunks = table(spark, directory, "chunks")
-    hunks = chunks.where("start_line IS NOT NULL AND ordinal % 2 = 0").select(
+    hunks = chunks.where("start_line IS NOT NULL").select(
         "parsed_key", F.col("start_line").alias("start"), (F.col("start_line") + 3).alias("end")
     )
     return ve.cited_chunks(hunks, chunks).select("chunk_id", "hunk_start")
