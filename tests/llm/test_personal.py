@@ -8,12 +8,40 @@ def field():
     return pe.model()
 
 
-def test_held_out_sentences(field):
+#: Names, templates and streets that no training sentence is composed with.
+HELD_NAMES = (
+    "Yuki Tanaka|Kwame Nkrumah-Osei|Aoife O'Brien|Priya Raghunathan|Maria van der Berg|Jean-Luc Picard|Tomasz W. Lewandowski|Ngozi Adichie|Rohan Mehta|"
+    "Sinéad McKenna|Bartholomew Quigley|Hedda Gablersen|Leif Ragnarsson|Xiomara Castellanos|Fyodor Karamazin|Giulietta di Rocco|남궁민수|허준|김서연"
+).split("|")
+HELD_STREETS = "221B Baker Street|14 Elm Grove Road|Kastanienallee 12|Goethestraße 5a|8 rue de Rivoli|Calle Mayor, 31|77 Sunset Boulevard|Am Markt Platz 3".split("|")
+HELD_LINES = [
+    ("Code review done by {} yesterday", HELD_NAMES), ("Author - {}", HELD_NAMES), ("Reviewer: {}", HELD_NAMES), ("// Contact {} about failures", HELD_NAMES),
+    ("our office is at {}", HELD_STREETS), ("Postal address: {}", HELD_STREETS), ("Delivery address: {}", HELD_STREETS),
+]
+
+
+def test_held_out_names_and_templates(field):
+    """Recall on names, streets and sentences of other make than the training's; no name is known from a list."""
+    wanted = found = 0
+    for template, values in HELD_LINES:
+        for value in values:
+            line = template.format(value)
+            wanted += 1
+            found += value in [line[a:b] for a, b, _ in field.decode(line)]
+    assert found / wanted > 0.85
+
+
+def test_training_holds_no_held_out_name():
+    text = "\n".join(line for line, _ in pe.sentences(3_000, 1))
+    assert not any(value in text for value in HELD_NAMES + HELD_STREETS if "가" > value[0])
+
+
+def test_composed_sentences_of_another_seed(field):
     right = wrong = missed = 0
-    for line, gold in pe.sentences(600, 4321):
+    for line, gold in pe.sentences(800, 4321):
         got = set(field.decode(line))
         right, wrong, missed = right + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
-    assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.97
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.93
 
 
 @pytest.mark.parametrize(
@@ -35,6 +63,16 @@ def test_held_out_sentences(field):
         ("Rack Street Side, slot 64.", []),
         ("Route 14 Layer Road Map: 2596 nets.", []),
         ("uint32_t x = 0x59575550123;", []),
+        ("Reviewed-by: Yuki Tanaka", [("name", "Yuki Tanaka")]),
+        ("Signed: Kwame Nkrumah-Osei", [("name", "Kwame Nkrumah-Osei")]),
+        ("thanks to Maria van der Berg", [("name", "Maria van der Berg")]),
+        ("contact Aoife O'Brien for it", [("name", "Aoife O'Brien")]),
+        ("Автор: Сергей Кузнецов", [("name", "Сергей Кузнецов")]),
+        ("Lab: 221B Baker Street", [("street_address", "221B Baker Street")]),
+        ("call tel:+49 30 1234567", [("phone", "+49 30 1234567")]),
+        ("DNI 12345678Z", [("id_number", "12345678Z")]),
+        ("IBAN DE89 3704 0044 0532 0130 00", [("id_number", "DE89 3704 0044 0532 0130 00")]),
+        ("AUTHOR OF THE SECOND MANUAL PAGE", []),
         ("", []),
     ],
 )
@@ -48,7 +86,7 @@ def test_choice_is_the_best_of_all(field):
 
     for line, _ in pe.sentences(150, 77):
         found = pe.candidates(line)
-        if not 2 <= len(found) <= 9:
+        if not 2 <= len(found) <= 11:
             continue
         best = 0.0
         for n in range(len(found) + 1):
