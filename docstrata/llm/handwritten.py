@@ -1,15 +1,16 @@
-"""Files that nobody on the project wrote by hand: linear support-vector classifiers over paths, comment lines and bodies.
+"""Files that nobody on the project wrote by hand: linear support-vector classifiers over paths, lines and bodies.
 
-Three classifiers, each trained here on a bounded sample that seed rules label: one on path components and file-name
-parts, one on comment lines (does the line give the file away?), one on the hashed character n-grams of the body with
-such lines masked, so that it has to learn how generated, minified and blob content looks without its header. A file is
-found if any of the three says so.
+Three classifiers, each trained here on a bounded sample that seed rules label: one on path components and their hashed
+character n-grams, one on lines (does the line give the file away?), one on the hashed character n-grams of the body with
+such lines masked, so that it has to learn how generated, minified and blob content looks without its header. Seeds are
+conventions by which tools and people commonly mark such files; everything is then judged by the classifiers, and a file
+is found if any of the three says so.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -19,27 +20,41 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docstrata.common import cut_lineage
+
 #: Hashed features.
 DIMENSIONS = 1 << 18
-#: Bounds of the training sample: rows of each seed of a path, other paths, documents.
-PER_SEED, OTHER_PATHS, TEXTS = 300, 12_000, 6_000
+#: Bounds of the training sample: rows of each seed of a path, other paths, documents, lines of these.
+PER_SEED, OTHER_PATHS, TEXTS, LINES = 300, 12_000, 6_000, 40_000
 PENALTY, EPOCHS = 10.0, 12
 #: What a body's margin must reach: the few lines of a file cut short say little.
 BODY_MARGIN = 0.25
 
-# Seeds, that is marks by which people and tools commonly name or head such files.
-SEED_DIRS = r"(?i)(?:^|/)(vendor|third[-_]?party|3rd[-_]?party|external|deps|node_modules|_?generated|autogen|gen|bower_components|dist-packages)/"
-SEED_NAMES = r"(?i)(_pb2(?:_grpc)?\.py|_pb\.js|\.pb\.(?:c|cc|h|go)|\.tab\.[ch]|[._-]gen\.\w+|[._]generated\.\w+|[._]autogen\.\w+|[.-]min\.(?:m?js\.)*m?js|\.bundle\.js|\.min\.css)$|(?:^|[/_])(?:moc|qrc|ui)_(?=\w+\.(?:cpp|cc|h)$)"
+# Seeds. Folders in which projects keep what others wrote or tools made, and names that tools give.
+SEED_FOLDERS = (
+    "vendor vendors vendored third-party third_party thirdparty 3rd-party 3rd_party 3rdparty external externals extern deps node_modules bower_components "
+    "pods carthage dist-packages site-packages generated _generated autogen gen dist target"
+).split()
+SEED_ENDINGS = (
+    r"_pb2(?:_grpc)?\.py _pb\.js \.pb\.(?:c|cc|h|go) \.tab\.[ch] \.(?:yy|lex)\.[ch] [._-]gen\.\w+ [._]generated\.\w+ [._]autogen\.\w+ [.-]min\.(?:m?js\.)*m?js "
+    r"\.min\.css \.bundle\.js \.designer\.\w+ \.g\.dart"
+).split()
+SEED_DIRS = rf"(?i)(?:^|/)({'|'.join(SEED_FOLDERS)})/"
+SEED_NAMES = rf"(?i)({'|'.join(SEED_ENDINGS)})$|(?:^|[/_])(?:moc|qrc|ui)_(?=\w+\.(?:cpp|cc|h)$)"
+# How the headers of generated files speak: marks of tools, a line that begins with its making, what made it,
+# the order not to edit the file, what happens to changes.
 GENERATED_LINES = re.compile(
-    r"(?i)@generated\b|<auto-?generated|\bauto-generated\b|\b(?:code|file) (?:is |was |has been )?(?:auto-?)?generated (?:from|by)\b"
-    r"|\b(?:automatically|machine)[- ](?:created|made|generated|produced)\b|\bdo not (?:edit|modify|change)\b"
-    r"|\bmanual (?:modifications|changes|edits) (?:are|will be|get) (?:lost|overwritten)"
+    r"@generated\b|(?i:<auto-?generated)|(?i:^\W*(?:this (?:file|code|source) (?:is|was|has been) )?(?:auto(?:matically)?|machine)[- ]?(?:generated|created|made|produced|written)\b)"
+    r"|(?i:\b(?:code|files?|source|tables?) (?:(?:is|was|are|were|has been) )?(?:auto-?|automatically |machine[- ])?(?:generated|produced|created) (?:by|from|with)\b)"
+    r"|\bDO NOT (?:EDIT|MODIFY|CHANGE)\b|(?i:\bdo not (?:edit|modify|change)(?: (?:it|this file|by hand|manually|directly))?\W*$)"
+    r"|(?i:\b(?:manual|hand) (?:changes|edits|modifications)\b.*\b(?:lost|overwritten|discarded)\b)"
 )
+# How the headers of copies speak: taken over unchanged, whose distribution it is, where bugs go, the banner
+# that minifiers keep.
 COPIED_LINES = re.compile(
-    r"(?i)\b(?:taken|copied) (?:verbatim|unmodified) from\b|\bimported unmodified from\b|\breport bugs to the \S+ project"
-    r"|\bpart of \S+ v?\d[\d.]*\. see the .*licen[cs]e|^\W*/\*! \S+ v\d"
+    r"(?i)\b(?:verbatim|unmodified|unchanged)\b.*\bfrom\b|\bupstream (?:licen[cs]e|release|version|project|distribution|source)\b"
+    r"|\breport (?:bugs|issues|problems) to\b|^\W*/\*! \S+ v\d"
 )
-NOT_SEED_LINES = re.compile(r"(?i)hand[- ]?(?:tuned|written|edited)|\blives elsewhere\b|\bthis script writes\b|\bwe used to\b|\breplaces the\b")
 COMMENT = re.compile(r"(?m)^[ \t]*(?:/\*+!?|\*(?!/)|//+|#(?!include|define)|\"{3}|<!--|;|--)[ \t]*(\S.*?)[ \t]*(?:\*/|-->)?[ \t]*\r?$")
 
 
@@ -48,28 +63,25 @@ def _hash(feature: str) -> int:
 
 
 def path_parts(path: str) -> list[str]:
-    """Directory components without case and separators, parts and endings of the file name."""
-    *dirs, name = path.replace("\\", "/").split("/")
-    found = {f"d:{re.sub(r'[^a-z0-9]', '', d.lower())}" for d in dirs}
-    parts = re.split(r"[._-]", name.lower())
-    parts[:-1] = ["#" if re.fullmatch(r"[0-9a-f]{2,}|[a-f]*\d[0-9a-f]*", p) else p for p in parts[:-1]]
-    found |= {f"n:{p}" for p in parts[1:]} | {f"p:{parts[0]}"}
-    return sorted(found | {f"x:{'.'.join(parts[-k:])}" for k in (2, 3) if len(parts) > k})
+    """Folders, parts and endings of the file name, each whole and by its character n-grams, without case and separators.
 
+    First words of file names are endless and say nothing, so only their beginning up to the first separator is dropped
+    where more follows; numbers and hashes in names are one.
+    """
+    *folders, name = path.replace("\\", "/").lower().split("/")
+    parts = re.split(r"[._-]", name)
+    parts[:-1] = ["#" if re.fullmatch(r"[0-9a-f]{2,}|[a-f]*\d[0-9a-f]*", p) else p for p in parts[:-1]]
+    found = {f"n:{p}" for p in parts[1:]} | {f"x:{'.'.join(parts[-k:])}" for k in (2, 3) if len(parts) > k}
+    if len(parts) > 2 or parts[0] in ("moc", "qrc", "ui"):
+        found.add(f"p:{parts[0] if parts[0] in ('moc', 'qrc', 'ui') else ''}")
+    for folder in folders:
+        plain = f"^{re.sub(r'[^a-z0-9]', '', folder)}$"
+        found |= {f"d:{plain}"} | {f"{n}:{plain[i : i + n]}" for n in (4, 6) for i in range(len(plain) - n + 1)}
+    return sorted(found)
 
-class PathFeatures:
-    """Numbers for the parts of the sample's paths. Parts outside of it have none: first words of file names are endless,
-    and hashed to numbers some would meet those that matter."""
-
-    def __init__(self, paths: Iterable[str]):
-        self.numbers: dict[str, int] = {}
-        for path in paths:
-            for part in path_parts(path):
-                self.numbers.setdefault(part, len(self.numbers))
 
-    def __call__(self, path: str) -> np.ndarray:
-        found = [self.numbers.get(part, DIMENSIONS - 1) for part in path_parts(path)]
-        return np.array([n for n in found if n < DIMENSIONS - 1] or [DIMENSIONS - 1], dtype=np.int64)
+def path_features(path: str) -> np.ndarray:
+    return np.unique(np.array([_hash(part) for part in path_parts(path)] or [0], dtype=np.int64))
 
 
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint64)
@@ -129,21 +141,24 @@ class LinearSVM:
         return float(self.weights[features].sum() / np.sqrt(len(features)) + self.weights[-1])
 
 
-def comment_lines(text: str) -> list[str]:
-    return COMMENT.findall(text)
+def telling_lines(text: str, lang: str | None) -> list[str]:
+    """The lines that speak to a reader: comments of code, all lines of prose; data have none."""
+    if lang == "json":
+        return []
+    return COMMENT.findall(text) if lang else [line.strip() for line in text.split("\n") if line.strip()]
 
 
 def _generated(line: str) -> bool:
-    return GENERATED_LINES.search(line) is not None and NOT_SEED_LINES.search(line) is None
+    return GENERATED_LINES.search(line) is not None
 
 
 def _gives_away(line: str) -> bool:
-    return _generated(line) or COPIED_LINES.search(line) is not None and NOT_SEED_LINES.search(line) is None
+    return _generated(line) or COPIED_LINES.search(line) is not None
 
 
-def masked(text: str, giveaway: Callable[[str], bool]) -> str:
-    """The text without the comment lines that give it away, and without licence lines."""
-    return COMMENT.sub(lambda m: "" if giveaway(m[1]) or "copyright" in m[1].lower() else m[0], text)
+def masked(text: str) -> str:
+    """The text without the comment lines that speak as headers do, and without licence lines."""
+    return COMMENT.sub(lambda m: "" if _gives_away(m[1]) or "copyright" in m[1].lower() else m[0], text)
 
 
 _MINIFIED = re.compile(r"[^\n]{250,}")
@@ -164,7 +179,6 @@ def seed_body(text: str) -> bool | None:
 
 @dataclass
 class Models:
-    parts: PathFeatures
     path: LinearSVM
     line: LinearSVM
     body: LinearSVM
@@ -172,16 +186,15 @@ class Models:
     held_out: dict[str, float]
 
     def by_path(self, path: str) -> bool:
-        return self.path.margin(self.parts(path)) > 0
+        return self.path.margin(path_features(path)) > 0
 
     def gives_away(self, line: str) -> bool:
         return self.line.margin(gram_features(line)) > 0
 
-    def by_text(self, text: str, lang: str) -> bool:
-        lines = [] if lang == "json" else comment_lines(text)
-        if any(map(self.gives_away, lines)):
+    def by_text(self, text: str, lang: str | None) -> bool:
+        if any(map(self.gives_away, telling_lines(text, lang))):
             return True
-        return self.body.margin(body_features(masked(text, lambda line: False))) >= BODY_MARGIN
+        return lang is not None and self.body.margin(body_features(masked(text))) >= BODY_MARGIN
 
 
 def _fit(rows: list[tuple[str, np.ndarray, bool]]) -> tuple[LinearSVM, float]:
@@ -202,17 +215,36 @@ def _thin(rows: DataFrame, n: int, total: int) -> DataFrame:
     return rows if share >= 1 else rows.where(F.col("o") < F.lit(int(-(2**63) + share * 2**64)))
 
 
-def _thin_again(rows: DataFrame, n: int, total: int) -> DataFrame:
-    """At most ``n`` of ``total`` rows that are already thinned by ``o``, by another hash of it."""
-    again = rows.withColumn("o", F.xxhash64("o"))
-    return _thin(again, n, total).orderBy("o").limit(n).select("repo", "text", "lang")
+def _sampled_texts(documents: DataFrame) -> DataFrame:
+    """``repo, body, label, lines``: of up to TEXTS code files and as many of prose, half with a hint of a seed, the features of the masked
+    body with its label (null: the seeds don't say), and its lines with theirs. One pass; texts stay where they are read."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for repo, text, lang in zip(batch.repo, batch.text, batch.lang, strict=True):
+                lines = [(line, _gives_away(line)) for line in dict.fromkeys(telling_lines(text, lang))]
+                label = (any(_generated(line) for line, _ in lines) or seed_body(text)) if lang else None
+                if label is False and any(away for _, away in lines):
+                    label = None  # a copy's header says nothing on its body
+                body = body_features(masked(text)) if label is not None else []
+                out.append((repo, body, label, [{"line": x, "away": y} for x, y in lines]))
+            yield pd.DataFrame(out, columns=["repo", "body", "label", "lines"])
+
+    hint = F.col("text").rlike(r"(?i)generated|do not |machine-|automatically|verbatim|unmodified|upstream|[^\n]{250}|(?:0x[0-9a-fA-F]+, *){6}|[A-Za-z0-9+/]{60}")
+    rows = documents.select("repo", "text", "lang", F.xxhash64("path", "repo").alias("o"))
+    thin = _thin(rows, 20 * TEXTS, documents.count()).where("text <> ''").withColumn("hint", hint)
+    rank = F.row_number().over(Window.partitionBy("hint", F.col("lang").isNull()).orderBy("o", F.md5("text")))
+    some = thin.withColumn("rank", rank).where(F.col("rank") <= TEXTS // 2)
+    return cut_lineage(some.select("repo", "text", "lang").mapInPandas(read, "repo string, body array<int>, label boolean, lines array<struct<line: string, away: boolean>>"))
 
 
 def train(paths: DataFrame, documents: DataFrame) -> Models:
     """Models from a bounded sample of ``paths`` (``repo, path``) and ``documents`` (``repo, path, text, lang``).
 
-    The sample takes, in the order of a hash, up to PER_SEED paths of each seed, OTHER_PATHS other paths and TEXTS code
-    files, half of them with a seed in path or text. Everything else is only scored.
+    The sample takes, in the order of a hash, up to PER_SEED paths of each seed, OTHER_PATHS other paths, twice TEXTS documents
+    and LINES of their lines, a third with a seed and a third near one. Everything else is only scored. What reaches the driver
+    are paths, lines and feature numbers of the sample.
     """
     order = F.xxhash64("path", "repo")
     seed = F.lower(F.coalesce(F.nullif(F.regexp_extract("path", SEED_DIRS, 1), F.lit("")), F.regexp_extract("path", SEED_NAMES, 0)))
@@ -223,27 +255,18 @@ def train(paths: DataFrame, documents: DataFrame) -> Models:
     total = others.agg(F.approx_count_distinct("o").alias("n")).first().n
     negative = _thin(others, OTHER_PATHS, total).dropDuplicates(["repo", "path"]).orderBy("o", "repo", "path").limit(OTHER_PATHS)
     sample = positive.select("repo", "path", "seed").union(negative.select("repo", "path", "seed")).distinct().toPandas()
-    parts = PathFeatures(sample.path)
-    path, path_right = _fit([(str(r.repo), parts(r.path), r.seed != "") for r in sample.itertuples()])
-
-    code = documents.where("lang IS NOT NULL AND text <> ''").select("repo", "text", "lang", order.alias("o"))
-    hint = F.col("text").rlike(r"(?i)generated|do not |machine-made|automatically|verbatim|unmodified|licen[cs]e|[^\n]{250}|(?:0x[0-9a-fA-F]+, *){6}|[A-Za-z0-9+/]{60}")
-    some = _thin(code, 10 * TEXTS, code.count()).withColumn("hint", hint)
-    hinted, rest = some.agg(F.count_if("hint"), F.count_if(~F.col("hint"))).first()
-    halves = [_thin_again(some.where(w), TEXTS // 2, n) for w, n in (("hint", hinted), ("NOT hint", rest))]
-    texts = halves[0].union(halves[1]).toPandas()
-    lines, bodies = {}, []
-    for repo, text, lang in zip(texts.repo, texts.text, texts.lang, strict=True):
-        away = generated = False
-        for line in [] if lang == "json" else comment_lines(text):
-            lines.setdefault(line, (str(repo), _gives_away(line)))
-            away, generated = away or lines[line][1], generated or _generated(line)
-        label = generated or seed_body(text)
-        if label is not None and (label or not away):  # a copy's header says nothing on its body
-            bodies.append((str(repo), body_features(masked(text, _gives_away)), label))
-    line, line_right = _fit([(repo, gram_features(x), y) for x, (repo, y) in lines.items()])
+    path, path_right = _fit([(str(r.repo), path_features(r.path), r.seed != "") for r in sample.itertuples()])
+
+    texts = _sampled_texts(documents)
+    bodies = [(str(r.repo), np.array(r.body, dtype=np.int64), r.label) for r in texts.where("label IS NOT NULL").select("repo", "body", "label").toLocalIterator()]
+    each = texts.select("repo", F.explode("lines").alias("l")).groupBy("l.line", "l.away").agg(F.min("repo").alias("repo"))
+    # Lines that only speak of such things are few, and what the classifier has to tell from headers: a third of the sample.
+    near = F.col("line").rlike(r"(?i)generat|\bedit|machine|automatic|cop(?:y|ied)|verbatim|unmodified|upstream|vendor|licen|\bbugs\b")
+    place = F.row_number().over(Window.partitionBy("away", near).orderBy(F.xxhash64("line"), "line"))
+    lines = each.withColumn("place", place).where(F.col("place") <= LINES // 3).select("repo", "line", "away").toPandas()
+    line, line_right = _fit([(str(r.repo), gram_features(r.line), r.away) for r in lines.itertuples()])
     body, body_right = _fit(bodies)
-    return Models(parts, path, line, body, {"path": path_right, "line": line_right, "body": body_right})
+    return Models(path, line, body, {"path": path_right, "line": line_right, "body": body_right})
 
 
 def not_handwritten_paths(files: DataFrame, models: Models) -> DataFrame:
@@ -262,7 +285,8 @@ def not_handwritten_paths(files: DataFrame, models: Models) -> DataFrame:
 
 
 def not_handwritten_texts(documents: DataFrame, models: Models) -> DataFrame:
-    """``id`` of the code files of ``documents`` (``id, text, lang``) whose text shows it; whole texts, nothing shuffled."""
+    """``id`` of the rows of ``documents`` (``id, text, lang``) whose text shows it, code and prose; whole texts, nothing
+    shuffled. Null and empty texts show nothing."""
     shared = documents.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,5 +294,4 @@ def not_handwritten_texts(documents: DataFrame, models: Models) -> DataFrame:
             keep = [shared.value.by_text(t, lang) for t, lang in zip(batch.text, batch.lang, strict=True)]
             yield batch.loc[np.array(keep, dtype=bool), ["id"]]
 
-    code = documents.where("lang IS NOT NULL AND text <> ''").select("id", "text", "lang")
-    return code.mapInPandas(run, f"id {dict(documents.dtypes)['id']}")
+    return documents.where("text <> ''").select("id", "text", "lang").mapInPandas(run, f"id {dict(documents.dtypes)['id']}")
