@@ -2,8 +2,11 @@
 
 A piece is a run of letters and non-ASCII characters with a little of what stands around it. For each encoding it may
 have been read in, a piece gives a lattice of bytes (lost characters are wildcards); for each encoding it may have been
-written in, a Viterbi search over that lattice gives the likeliest texts. A text is believed if the whole corpus writes
-it much more often than what stands there, or if its bytes fit the stricter encoding as chance would hardly have it.
+written in, a Viterbi search over that lattice gives the texts it may stand for, and the corpus' word frequencies choose
+among them: those of known words by a join on what is not lost, each checked against the lattice, those of unknown words
+under character weights. A text is believed if the whole corpus writes it much more often than what stands there, or if its
+bytes fit the stricter encoding as chance would hardly have it; lost bytes only if the best text is much likelier than the
+second.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from heapq import merge
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstrata.common import cut_lineage, small_side
@@ -44,6 +47,10 @@ HANGUL = re.compile("[가-힣]")
 WORDS = re.compile(r"[^\W\d_]{4}|[가-힣]{2}")
 #: Texts kept of a lattice with lost bytes: as many as one lost byte of UTF-8 has values.
 PATHS = 64
+#: How many times as frequent as the second best text the best must be to fill lost bytes.
+MARGIN = 4.0
+#: Pieces that one task reads; the number of tasks grows with the pieces.
+PIECES_PER_TASK = 2_000
 #: Distinct characters that may be held in memory: Unicode has not so many.
 CHARACTERS = 0x110000
 
@@ -236,38 +243,72 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words by their mask, every non-ASCII character lost: ``piece`` where they are lost, ``run`` where they are not."""
+    """Words by what ASCII holds of them: ``piece`` where bytes of the rest are lost, ``known`` where none are."""
     for batch in batches:
         rows = []
         for piece, n in zip(batch.piece, batch.n, strict=True):
             run = split(piece)[1]
-            mask = re.sub(r"[^\x00-\x7f]", LOST, run.lower())
-            if re.search(r"[a-z].*[a-z]", mask) and not CONTROL.search(run):
+            mask = re.sub(r"[^\x00-\x7f]+", LOST, run.lower())
+            if re.search(r"[a-z].*[a-z]", mask) and (LOST in run or not CONTROL.search(run)):
                 known = run.lower() if LOST not in run else None
                 rows.append((mask, None if known else piece, known, run, n))
         yield pd.DataFrame(rows, columns=["mask", "piece", "known", "run", "n"], dtype=object)
 
 
-def _cased(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lower-case words in the case of the runs they restore."""
+def cased(word: str, run: str) -> str:
+    """A word in lower case in the case of the run it restores."""
+    return word.upper() if run.isupper() and len(run) > 1 else word.capitalize() if run[0].isupper() else word
+
+
+def stands_for(run: str, word: str) -> bool:
+    """Whether ``word`` is a path through one of the byte lattices of ``run``: as many bytes, the known ones alike."""
+    for read_as in READ_AS:
+        nodes = lattice(run, read_as)
+        if nodes is None:
+            continue
+        cells = [b for n in nodes for b in ([None] if n is None else n)]
+        for written_in in WRITTEN_IN:
+            if written_in != read_as:
+                try:
+                    coded = word.encode(written_in)
+                except UnicodeEncodeError:
+                    continue
+                if len(coded) == len(cells) and all(x is None or x == y for x, y in zip(cells, coded, strict=True)):
+                    return True
+    return False
+
+
+def _standing(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The candidate words that stand in a lattice of their piece, in its case."""
     for batch in rows:
-        pairs = zip(batch.known, batch.run, strict=True)
-        cased = [w.upper() if r.isupper() and len(r) > 1 else w.capitalize() if r[0].isupper() else w for w, r in pairs]
-        yield pd.DataFrame({"piece": batch.piece, "filled": cased})
+        found = [
+            (piece, word, n)
+            for piece, known, run, n in zip(batch.piece, batch.known, batch.run, batch.n, strict=True)
+            if stands_for(run, word := cased(known, run))
+        ]
+        yield pd.DataFrame(found, columns=["piece", "filled", "n"])
 
 
 def _filled(counts: DataFrame, damaged: DataFrame) -> DataFrame:
-    """``piece, filled``: lost pieces with the corpus' most frequent word that agrees in all that is not lost.
+    """``piece, filled``: lost pieces with the corpus' most frequent word among the paths of their byte lattices.
 
-    This is the search through the lattice of a single-byte encoding, each lost byte a wildcard, under word frequencies:
-    all words of one mask are its paths. Grouped and joined by mask; only the best word of a mask is kept, and none that
-    is ``damaged`` itself.
+    This is the search through the lattices under word frequencies: words meet pieces by what ASCII holds of both, and those
+    that are no path are left out. A word that isn't MARGIN times as frequent as the second fills nothing, nor does one
+    that is ``damaged`` itself.
     """
     masks = counts.join(small_side(damaged.select("piece")), "piece", "left_anti").select("piece", "n").mapInPandas(_masked, "mask string, piece string, known string, run string, n long")
     words = masks.where("known IS NOT NULL").groupBy("mask", "known").agg(F.sum("n").alias("n"))
-    best = words.groupBy("mask").agg(F.max_by("known", F.struct("n", "known")).alias("known"))
     lost = masks.where("piece IS NOT NULL").select("mask", "piece", "run")
-    return lost.join(best, "mask").select("piece", "known", "run").mapInPandas(_cased, "piece string, filled string")
+    found = lost.join(words, "mask").select("piece", "known", "run", "n").mapInPandas(_standing, "piece string, filled string, n long")
+    return _by_margin(found, F.log("n")).select("piece", "filled")
+
+
+def _by_margin(found: DataFrame, score: Column) -> DataFrame:
+    """Of the rows of each ``piece`` the one of the greatest ``score``, if that is MARGIN times as likely as the second."""
+    by = Window.partitionBy("piece").orderBy(F.desc("_score"))
+    rows = found.withColumn("_score", score).withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= 2)
+    second = F.lead("_score").over(by)
+    return rows.withColumn("_second", second).where((F.col("_rank") == 1) & (F.col("_second").isNull() | (F.col("_score") - F.col("_second") >= math.log(MARGIN))))
 
 
 def _piece_rows(id_type: str):
@@ -319,9 +360,10 @@ def damaged_pieces(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["piece", "n", "lost", "restored", "channel", "odds", "key", "word", "sure"])
 
     schema = "piece string, n long, lost boolean, restored string, channel string, odds double, key string, word boolean, sure boolean"
-    read_out = counts.mapInPandas(read, schema)
+    tasks = min(20_000, max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // PIECES_PER_TASK))
+    read_out = counts.repartition(tasks).mapInPandas(read, schema)
     keys = counts.mapInPandas(_keyed, "key string, n long, d long").groupBy("key").agg(F.sum("n").alias("known"), F.sum("d").alias("known_once"))
-    scored = (
+    scored = cut_lineage(
         read_out.join(keys, "key", "left")
         .groupBy("piece", "restored")
         .agg(
@@ -348,19 +390,15 @@ def damaged_pieces(texts: DataFrame) -> DataFrame:
     )
     # A sign of single bytes counts only where its channel has damaged words too: at most one row a pair of encodings.
     channels = likely.where("word").groupBy("channel").agg(F.lit(True).alias("seen"))
-    best = (
-        likely.join(F.broadcast(channels), "channel", "left")
-        .where("seen OR NOT sign")
-        .groupBy("piece")
-        .agg(F.max_by(F.struct("restored", "channel"), F.struct("score", "restored")).alias("best"))
-        .select("piece", "best.restored", "best.channel")
-    )
-    best = cut_lineage(best)
+    seen = likely.join(F.broadcast(channels), "channel", "left").where("seen OR NOT sign")
+    whole = seen.where(~F.col("piece").contains(LOST)).groupBy("piece").agg(F.max_by(F.struct("restored", "channel"), F.struct("score", "restored")).alias("best"))
+    torn = _by_margin(seen.where(F.col("piece").contains(LOST)), F.col("score")).select("piece", F.struct("restored", "channel").alias("best"))
+    best = cut_lineage(whole.union(torn).select("piece", "best.restored", "best.channel"))
     return (
         here.join(best, "piece", "left")
         .where("lost OR restored IS NOT NULL")
         .join(_filled(counts, best.where(~F.col("piece").contains(LOST))), "piece", "left")
-        .select("piece", F.coalesce("filled", "restored").alias("restored"), F.when(F.col("filled").isNotNull(), "lost bytes").otherwise(F.col("channel")).alias("channel"))
+        .select("piece", F.coalesce("restored", "filled").alias("restored"), F.when(F.col("restored").isNull() & F.col("filled").isNotNull(), "lost bytes").otherwise(F.col("channel")).alias("channel"))
     )
 
 
@@ -397,7 +435,8 @@ def restored(texts: DataFrame, damage: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": batch.id, "text": done, "lost": batch.lost})
 
     kind = dict(texts.dtypes)["id"]
-    return texts.dropDuplicates(["id"]).join(found, "id").select("id", "text", "pieces", "lost").mapInPandas(put_right, f"id {kind}, text string, lost boolean")
+    some = texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).select("id", "text").join(small_side(found), "id").dropDuplicates(["id"])
+    return some.select("id", "text", "pieces", "lost").mapInPandas(put_right, f"id {kind}, text string, lost boolean")
 
 
 def _expand(run: str, short: str, right: str) -> str:

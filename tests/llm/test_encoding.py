@@ -95,3 +95,31 @@ def test_rare_characters_fill_lost_bytes(spark):
     texts = spark.createDataFrame(rows, SCHEMA)
     found = {r.id: (r.text, r.lost) for r in en.restored(texts, en.damaged_pieces(texts)).collect()}
     assert found == {"lost": ("le goûter", False)}
+
+
+def test_two_words_of_one_mask_fill_nothing(spark):
+    rows = [(f"g{i}", f"la p\u00e2te et le p\u00f4te {i}, un r\u00e9seau", "") for i in range(40)]
+    rows += [("unclear", "la p\ufffdte", ""), ("clear", "un r\ufffdseau", ""), ("half", "la p\u00c3\ufffdte", "")]
+    texts = spark.createDataFrame(rows, SCHEMA)
+    found = {r.id: (r.text, r.lost) for r in en.restored(texts, en.damaged_pieces(texts)).collect()}
+    assert found == {"unclear": ("la p\ufffdte", True), "clear": ("un r\u00e9seau", False), "half": ("la p\u00c3\ufffdte", True)}
+
+
+def test_words_that_are_paths_of_a_lattice():
+    assert en.stands_for("r\u00c3\ufffdseau", "r\u00e9seau") and en.stands_for("r\ufffdseau", "r\u00e9seau")
+    assert not en.stands_for("r\u00c3\ufffdseau", "resseau") and not en.stands_for("r\ufffdseau", "r\uac00seau")
+
+
+def test_restoration_rate_on_damaged_lines(spark):
+    """Lines of the test tables' own kind, each damaged in one known way; nothing may come out wrong and unmarked."""
+    words = "Gr\u00f6\u00dfe pr\u00fcfen Z\u00e4hler L\u00fcfter l\u00e4uft r\u00e9seau cl\u00e9 \u00e9tat prot\u00e9g\u00e9 r\u00e9serve se\u00f1al l\u00ednea dise\u00f1o a\u00f1o".split()
+    lines = {i: f"{words[i % 14]} {words[(i * 5 + 1) % 14]} und {words[(i * 3 + 2) % 14]} {i}" for i in range(210)}
+    ways = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp437"), ("utf-8", "mac_roman"), ("cp1252", "cp1251"), ("cp1252", "cp437")]
+    rows = [(f"g{i}-{k}", f"{line}{k}", "") for i, line in lines.items() for k in range(8)]
+    rows += [(f"d{i}", line.encode(ways[i // 14 % 7][0]).decode(ways[i // 14 % 7][1]) if i // 14 % 7 < 6 else line.encode("cp1252").decode("utf-8", "replace"), "") for i, line in lines.items()]
+    texts = spark.createDataFrame(rows, SCHEMA)
+    found = {r.id: (r.text, r.lost) for r in en.restored(texts, en.damaged_pieces(texts)).collect()}
+    right = sum(found.get(f"d{i}", ("", True))[0] == line for i, line in lines.items())
+    wrong = sum(f"d{i}" in found and not found[f"d{i}"][1] and found[f"d{i}"][0] != line for i, line in lines.items())
+    assert right >= 0.9 * len(lines) and wrong <= 2
+    assert not any(k[0] == "g" for k in found)
