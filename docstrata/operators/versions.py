@@ -47,6 +47,86 @@ def table_texts(chunks: DataFrame) -> DataFrame:
     )
 
 
+def placed_chunks(chunks: DataFrame) -> DataFrame:
+    """``parsed_key, chunk_id, ordinal, text, first, last``: the lines that each chunk takes in its document's joined text.
+
+    Chunks of one document are windowed in order; a document's chunks fit a task.
+    """
+    along = Window.partitionBy("parsed_key").orderBy("ordinal", "text")
+    lines = F.size(F.split("text", "\n", -1))
+    last = F.sum("lines").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return chunks.withColumn("lines", lines).withColumn("last", last).withColumn("first", F.col("last") - F.col("lines") + 1).drop("lines")
+
+
+def joined_texts(chunks: DataFrame) -> DataFrame:
+    """``parsed_key, text, chunks``: each document's chunks in order, one after the other. A document fits a row."""
+    parts = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
+    return chunks.groupBy("parsed_key").agg(
+        F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.count(F.lit(1)).alias("chunks")
+    )
+
+
+def cited_hunks(hunks: DataFrame, placed: DataFrame) -> DataFrame:
+    """Hunks (``after_key`` and ``h`` as ``diff_pairs`` gives it) with the chunks of the new text they are cited by.
+
+    A hunk that adds lines is cited by every chunk it touches, one that only deletes by the chunk of the line before it;
+    where no chunk holds that line, by the document's first chunk.
+    """
+    rows = hunks.select("*", F.col("h.after_start").alias("after_start"), F.col("h.before_start").alias("before_start"), F.size("h.removed").alias("removed"), F.size("h.added").alias("added"))
+    rows = rows.withColumn("from", F.when(F.col("added") > 0, F.col("after_start")).otherwise(F.greatest(F.lit(1), F.col("after_start") - 1)))
+    rows = rows.withColumn("to", F.when(F.col("added") > 0, F.col("after_start") + F.col("added") - 1).otherwise(F.col("from")))
+    places = placed.select(F.col("parsed_key").alias("after_key"), "chunk_id", "first", "last")
+    start = placed.groupBy("parsed_key").agg(F.min_by("chunk_id", F.struct("ordinal", "text")).alias("start")).withColumnRenamed("parsed_key", "after_key")
+    found = rows.alias("r").join(places.alias("p"), (F.col("r.after_key") == F.col("p.after_key")) & (F.col("first") <= F.col("to")) & (F.col("last") >= F.col("from")), "left")
+    return found.select("r.*", "chunk_id").join(start, "after_key", "left").withColumn("chunk_id", F.coalesce("chunk_id", "start")).drop("start")
+
+
+def reusable(files: DataFrame, order: DataFrame) -> DataFrame:
+    """``snapshot_id, reuses``: snapshots whose files equal those of the one before in their source, path by path.
+
+    Two independent sums of 64-bit hashes, aggregated partially, find the candidates; their files are then joined, so the
+    sums never decide. Snapshots without files equal each other.
+    """
+    held = files.select("snapshot_id", "path", "raw_hash", "logical_key")
+    hashed = [F.sum(F.xxhash64(F.lit(seed), "path", F.coalesce("raw_hash", F.lit("-")), F.coalesce("logical_key", F.lit("-"))).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    sums = order.select("snapshot_id", "source_id", "idx").join(held.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n"), *hashed), "snapshot_id", "left")
+    along = Window.partitionBy("source_id").orderBy("idx")
+    values = F.struct("n", "s1", "s2")
+    pairs = sums.withColumn("reuses", F.when(F.lag(values).over(along).eqNullSafe(values), F.lag("snapshot_id").over(along))).where("reuses IS NOT NULL").select("snapshot_id", "reuses", "n")
+    pairs = cut_lineage(pairs)
+    old = held.select(F.col("snapshot_id").alias("reuses"), "path", F.col("raw_hash").alias("old_hash"), F.col("logical_key").alias("old_key"))
+    same = (
+        held.join(small_side(pairs.select("snapshot_id", "reuses")), "snapshot_id")
+        .join(old, ["reuses", "path"])
+        .where(F.col("raw_hash").eqNullSafe(F.col("old_hash")) & F.col("logical_key").eqNullSafe(F.col("old_key")))
+        .groupBy("snapshot_id")
+        .agg(F.count(F.lit(1)).alias("same"))
+    )
+    return pairs.join(same, "snapshot_id", "left").where("coalesce(same, 0) = coalesce(n, 0)").select("snapshot_id", "reuses")
+
+
+def frozen(snapshots: DataFrame, at: object) -> DataFrame:
+    """``source_id, snapshot_id``: of each source the latest complete snapshot created by ``at``; sources without one have none.
+
+    A snapshot delivered twice is complete only if all its rows say so.
+    """
+    once = snapshots.where("snapshot_id IS NOT NULL").groupBy("snapshot_id").agg(
+        F.min("source_id").alias("source_id"), F.min("created_at").alias("created_at"), F.min("complete").alias("complete")
+    )
+    kept = once.where(F.col("complete") & (F.col("created_at") <= F.lit(at)))
+    return kept.groupBy("source_id").agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id")).alias("snapshot_id"))
+
+
+def vector_changes(before: DataFrame, now: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunk_id, action``: chunks of contents that only ``now`` holds (``upsert``) or only ``before`` held (``delete``).
+
+    Contents are compared, not files: a content that moved or is still held by another file needs nothing.
+    """
+    keys = [files.select("parsed_key").where("parsed_key IS NOT NULL").distinct().withColumn("has", F.lit(name)) for name, files in (("delete", before), ("upsert", now))]
+    one = keys[0].union(keys[1]).groupBy("parsed_key").agg(F.count(F.lit(1)).alias("sides"), F.min("has").alias("action")).where("sides = 1")
+    return chunks.select("chunk_id", "parsed_key").join(one, "parsed_key").select("chunk_id", "action")
+
+
 def cited_chunks(hunks: DataFrame, chunks: DataFrame, key: str = "parsed_key") -> DataFrame:
     """The chunks whose lines overlap a hunk's (``key, start, end``): an equi-join on the document with a range condition."""
     h = hunks.select(key, F.col("start").alias("hunk_start"), F.col("end").alias("hunk_end"))

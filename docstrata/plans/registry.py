@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstrata.plans import content, profile, retrieval, versions  # noqa: F401  (they register their queries)
+from docstrata.plans import comparison, content, profile, retrieval, versions  # noqa: F401  (they register their queries)
 from docstrata.plans.register import QUERIES, SQL
 
 
