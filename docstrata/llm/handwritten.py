@@ -233,7 +233,7 @@ def _sampled_texts(documents: DataFrame) -> DataFrame:
 
     hint = F.col("text").rlike(r"(?i)generated|do not |machine-|automatically|verbatim|unmodified|upstream|[^\n]{250}|(?:0x[0-9a-fA-F]+, *){6}|[A-Za-z0-9+/]{60}")
     rows = documents.select("repo", "text", "lang", F.xxhash64("path", "repo").alias("o"))
-    thin = _thin(rows, 20 * TEXTS, documents.count()).where("text <> ''").withColumn("hint", hint)
+    thin = _thin(rows, 8 * TEXTS, documents.count()).where("text <> ''").withColumn("hint", hint)
     rank = F.row_number().over(Window.partitionBy("hint", F.col("lang").isNull()).orderBy("o", F.md5("text")))
     some = thin.withColumn("rank", rank).where(F.col("rank") <= TEXTS // 2)
     return cut_lineage(some.select("repo", "text", "lang").mapInPandas(read, "repo string, body array<int>, label boolean, lines array<struct<line: string, away: boolean>>"))

@@ -1,9 +1,9 @@
-"""Evaluation passages inside documents: BM25 retrieval of test items by block-max WAND, then exact verification."""
+"""Evaluation passages inside documents: BM25 retrieval of test items by block-max WAND, then verification of question and
+passage apart."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,9 +16,11 @@ WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 #: Items per block.
 BLOCK = 16
-#: The index is sent to every executor, so the items of one index may hold at most so many characters; more items are
-#: indexed in several parts, each of which is asked with all documents.
-INDEX_CHARS = 250_000
+#: The index is sent to every executor, so the items of one index may hold at most so many characters (its size is linear
+#: in them, about eight times as many bytes); more items are indexed in several parts, each asked with all documents.
+INDEX_CHARS = 4_000_000
+#: Passages whose answers a task remembers.
+MEMO = 200_000
 
 
 def words(text: str) -> list[str]:
@@ -26,81 +28,141 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def question_words(text: str) -> int:
+    """How many words of an item are its question: those up to the first end of a sentence that more text follows."""
+    end = re.search(r"[.?!:](?=\s+\w)", text)
+    return len(words(text[: end.end()])) if end else 0
+
+
 @dataclass
 class ItemIndex:
-    """Inverted index of test items with BM25 impacts, cut into blocks of BLOCK items.
+    """Inverted index of test items with BM25 impacts: posting lists, and over them lists of block maxima.
 
-    ``terms`` numbers the words from 1 (0: in no item); ``impacts[t, b]`` are term t's score shares in the items of block b;
-    ``block_max[t, b]`` is the largest share of term t in block b and ``upper[t]`` the largest of all. ``need[i]`` is the
-    least score of a passage that holds ``run`` consecutive words of item i, the threshold at which retrieval is complete.
-    Items are ordered by it, so that a block's threshold fits all of its items. Items of fewer words can't leak and are
-    left out.
+    ``terms`` numbers the words from 1 (0: in no item). Term ``t`` has the items ``item[at[t]:at[t+1]]`` with their score
+    shares ``impact``, and the blocks of BLOCK items ``block[block_at[t]:block_at[t+1]]`` with their largest shares
+    ``block_max``; ``upper[t]`` is the largest of all. ``need[i]`` is the least score of a passage that holds ``run``
+    consecutive words of item i, the threshold at which retrieval is complete. Items are ordered by it, so that a block's
+    first need fits all of its items. Items of fewer words can't leak and are left out.
     """
 
     run: int
     terms: dict[str, int]
-    impacts: np.ndarray
+    at: np.ndarray
+    item: np.ndarray
+    impact: np.ndarray
+    block_at: np.ndarray
+    block: np.ndarray
     block_max: np.ndarray
     upper: np.ndarray
     need: np.ndarray
     ids: list[int]
-    runs: list[frozenset]
+    #: Word numbers of all items one after the other, where each item's begin, and how many are its question's.
+    numbers: np.ndarray
+    begins: np.ndarray
+    asked: np.ndarray
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]], run: int) -> ItemIndex:
-        kept = sorted((i, w) for i, t in rows if t is not None and len(w := words(t)) >= run)
-        average = sum(len(w) for _, w in kept) / max(1, len(kept))
+        kept = sorted((i, w, question_words(t)) for i, t in rows if t is not None and len(w := words(t)) >= run)
+        average = sum(len(w) for _, w, _ in kept) / max(1, len(kept))
         terms: dict[str, int] = {}
-        counts = [Counter(terms.setdefault(x, len(terms) + 1) for x in w) for _, w in kept]
-        held = Counter(t for c in counts for t in c)
+        numbered = [np.array([terms.setdefault(x, len(terms) + 1) for x in w], dtype=np.int32) for _, w, _ in kept]
+        counts = [np.unique(n, return_counts=True) for n in numbered]
+        held = np.zeros(len(terms) + 2)
+        for t, _ in counts:
+            held[t] += 1
+        idf = np.log(1 + (len(kept) - held + 0.5) / (held + 0.5))
+        share = np.zeros(len(terms) + 1)
         items = []
-        for (ident, w), count in zip(kept, counts, strict=True):
-            share = {
-                t: np.log(1 + (len(kept) - held[t] + 0.5) / (held[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / average))
-                for t, tf in count.items()
-            }
-            numbers = [terms[x] for x in w]
-            runs = frozenset(tuple(numbers[i : i + run]) for i in range(len(numbers) - run + 1))
-            items.append((min(sum(share[t] for t in r) for r in runs) * (1 - 1e-6), ident, share, runs))
+        for (ident, w, asked), n, (t, tf) in zip(kept, numbered, counts, strict=True):
+            share[t] = impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / average))
+            along = np.concatenate([[0.0], np.cumsum(share[n])])
+            items.append((float((along[run:] - along[:-run]).min()) * (1 - 1e-6), ident, t, impact.astype(np.float32), n, asked))
         items.sort(key=lambda x: x[:2])
-        blocks = -(-len(items) // BLOCK)
-        impacts = np.zeros((len(terms) + 1, blocks, BLOCK), dtype=np.float32)
-        for i, (_, _, share, _) in enumerate(items):
-            impacts[np.fromiter(share, dtype=np.int64), i // BLOCK, i % BLOCK] = np.fromiter(share.values(), dtype=np.float32)
-        block_max = impacts.max(axis=2, initial=0)
-        need = np.full(blocks * BLOCK, np.inf)
-        need[: len(items)] = [x[0] for x in items]
+        term = np.concatenate([[0], *[x[2] for x in items]]).astype(np.int64)[1:]
+        place = np.repeat(np.arange(len(items)), [len(x[2]) for x in items])
+        impact = np.concatenate([np.zeros(1, np.float32), *[x[3] for x in items]])[1:]
+        order = np.lexsort((place, term))
+        term, place, impact = term[order], place[order], impact[order]
+        first = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(place // BLOCK, prepend=-1))
+        maxima = np.maximum.reduceat(impact, first) if len(first) else impact
+        upper = np.zeros(len(terms) + 1)
+        np.maximum.at(upper, term, impact)
+        numbers = range(len(terms) + 2)
         return cls(
-            run, terms, impacts, block_max, block_max.max(axis=1, initial=0), need, [x[1] for x in items], [x[3] for x in items]
-        )
+            run, terms, np.searchsorted(term, numbers), place, impact, np.searchsorted(term[first], numbers), place[first] // BLOCK, maxima, upper,
+            np.array([x[0] for x in items]), [x[1] for x in items], np.concatenate([np.zeros(0, np.int32), *[x[4] for x in items]]),
+            np.concatenate([[0], np.cumsum([len(x[4]) for x in items])]).astype(np.int64), np.array([x[5] for x in items]),
+        )
 
-    def leaks(self, text: str) -> set[int]:
-        """The ids of the items of which ``text`` holds ``run`` consecutive words.
+    def retrieved(self, passage: np.ndarray) -> np.ndarray:
+        """The places of the items whose score for a passage reaches their need: block-max WAND.
 
-        Every ``run`` words of the text are a query; one with a word that no item has can't be an item's run. WAND's
-        pivot test (can the upper bounds together reach the least need at all?) is made for all queries at once, the
-        block-max test for the rest against all blocks at once; only items of blocks that pass are scored, and those
-        that reach their need are verified.
+        Terms are taken in the order of their upper bounds; those whose bounds together stay below the least need of all
+        can't bring an item in alone, so only blocks of the other terms' lists (from the pivot on) are looked at. Of these
+        only blocks whose maxima reach their need are scored, item by item.
+        """
+        upper = self.upper[passage]
+        order = passage[np.argsort(upper, kind="stable")]
+        pivot = int(np.searchsorted(np.cumsum(np.sort(upper)), self.need[0]))
+        lists = [slice(self.block_at[t], self.block_at[t + 1]) for t in order]
+        if pivot >= len(order):
+            return np.empty(0, dtype=np.int64)
+        blocks = np.unique(np.concatenate([self.block[x] for x in lists[pivot:]]))
+        bound = np.zeros(len(blocks))
+        for x in lists:
+            there = self.block[x]
+            i = np.searchsorted(there, blocks)
+            i[i == len(there)] = 0
+            bound += np.where(there[i] == blocks, self.block_max[x][i], 0) if len(there) else 0
+        blocks = blocks[bound >= self.need[blocks * BLOCK]]
+        out = []
+        for b in blocks.tolist():
+            score = np.zeros(BLOCK)
+            for t in order:
+                low, high = self.at[t], self.at[t + 1]
+                i = low + np.searchsorted(self.item[low:high], b * BLOCK)
+                j = low + np.searchsorted(self.item[low:high], (b + 1) * BLOCK)
+                score[self.item[i:j] - b * BLOCK] += self.impact[i:j]
+            need = self.need[b * BLOCK : (b + 1) * BLOCK]
+            out.append(b * BLOCK + np.flatnonzero(score[: len(need)] >= need))
+        return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
+
+    def overlap(self, item: int, passage: np.ndarray) -> int:
+        """Where a passage stands in an item: 1 in its question, 2 in what follows, 3 across or in both, 0 nowhere."""
+        low, high = self.begins[item], self.begins[item + 1]
+        found = 0
+        for i in (low + np.flatnonzero(self.numbers[low : high - self.run + 1] == passage[0])).tolist():
+            if np.array_equal(self.numbers[i : i + self.run], passage):
+                begin, end, asked = i - low, i - low + self.run, self.asked[item]
+                found |= 1 if end <= asked else 2 if begin >= asked else 3
+        return found
+
+    def leaks(self, text: str, memo: dict[bytes, list[tuple[int, int]]] | None = None) -> dict[int, int]:
+        """The items of which ``text`` holds ``run`` consecutive words, with where (see ``overlap``).
+
+        Every ``run`` words of the text are a query; one with a word that no item has can't be an item's run, nor one whose
+        upper bounds together don't reach the least need. The items that the rest retrieve are verified word by word,
+        question and passage apart.
         """
         get = self.terms.get
         terms = np.array([get(w, 0) for w in words(text)], dtype=np.int64)
         if len(terms) < self.run or not len(self.need):
-            return set()
-        windows = np.lib.stride_tricks.sliding_window_view(terms, self.run)
-        total = np.concatenate([[0.0], np.cumsum(self.upper[terms], dtype=np.float64)])
+            return {}
+        total = np.concatenate([[0.0], np.cumsum(self.upper[terms])])
         known = np.concatenate([[0], np.cumsum(terms > 0)])
-        windows = windows[
-            (known[self.run :] - known[: -self.run] == self.run) & (total[self.run :] - total[: -self.run] >= self.need[0])
-        ]
-        out: set[int] = set()
-        for at in range(0, len(windows), 512):
-            some = windows[at : at + 512]
-            w, block = np.nonzero(self.block_max[some].sum(axis=1) >= self.need[::BLOCK])
-            score = self.impacts[some[w], block[:, None]].sum(axis=1)
-            for pair, place in np.argwhere(score >= self.need.reshape(-1, BLOCK)[block]).tolist():
-                i = block[pair] * BLOCK + place
-                if tuple(some[w[pair]].tolist()) in self.runs[i]:
-                    out.add(self.ids[i])
+        right = (known[self.run :] - known[: -self.run] == self.run) & (total[self.run :] - total[: -self.run] >= self.need[0] * (1 - 1e-9))
+        memo = {} if memo is None else memo
+        out: dict[int, int] = {}
+        for i in np.flatnonzero(right).tolist():
+            passage = terms[i : i + self.run]
+            answer = memo.get(key := passage.tobytes())
+            if answer is None:
+                if len(memo) > MEMO:
+                    memo.clear()
+                answer = memo[key] = [(self.ids[x], where) for x in self.retrieved(passage).tolist() if (where := self.overlap(x, passage))]
+            for ident, where in answer:
+                out[ident] = out.get(ident, 0) | where
         return out
 
 
@@ -122,12 +184,12 @@ def _parts(items: DataFrame, chars: int) -> list[list[tuple[int, str]]]:
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12, index_chars: int = INDEX_CHARS) -> DataFrame:
-    """``doc_id, item_id``: the documents that hold at least ``run`` consecutive words of an item's text, and the item.
+    """``doc_id, item_id, in_question, in_passage``: the documents that hold at least ``run`` consecutive words of an item's
+    text, the item, and whether such words stand in its question and in what follows it.
 
     Every passage of ``run`` words of every document is a query against the BM25 index of the items. All items are
     retrieved whose score is at least the least score that any run of their own words brings, so retrieval loses none,
-    and each is verified on its exact word runs. Documents are not shuffled: the index goes to them, in parts of bounded
-    size.
+    and each is verified on its words. Documents are not shuffled: the index goes to them, in parts of bounded size.
 
     Null and empty texts hold nothing; items shorter than ``run`` words can't leak; items of equal text all come out;
     rows of one doc_id count together. Empty inputs give an empty result.
@@ -139,10 +201,11 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12, index_ch
         index = spark.sparkContext.broadcast(ItemIndex.build(part, run))
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            memo: dict[bytes, list[tuple[int, int]]] = {}
             for batch in batches:
-                rows = [(d, i) for d, t in zip(batch.doc_id, batch.text, strict=True) for i in sorted(index.value.leaks(t))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+                rows = [(d, i, bool(w & 1), bool(w & 2)) for d, t in zip(batch.doc_id, batch.text, strict=True) for i, w in sorted(index.value.leaks(t, memo).items())]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "in_question", "in_passage"])
 
-        found = texts.mapInPandas(search, f"doc_id {id_type}, item_id {dict(items.dtypes)['item_id']}")
+        found = texts.mapInPandas(search, f"doc_id {id_type}, item_id {dict(items.dtypes)['item_id']}, in_question boolean, in_passage boolean")
         out = found if out is None else out.union(found)
-    return out.distinct()
+    return out.groupBy("doc_id", "item_id").agg(F.max("in_question").alias("in_question"), F.max("in_passage").alias("in_passage"))

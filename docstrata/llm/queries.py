@@ -108,6 +108,12 @@ def p6_packed(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    return leaked_items(table(spark, directory, "documents"), table(spark, directory, "eval_items")).select("doc_id", "item_id")
+
+
+@query
+def p7_parts(spark: SparkSession, directory: str) -> DataFrame:
+    """What of each item leaked: its question, its passage, or both."""
     return leaked_items(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
 
 
