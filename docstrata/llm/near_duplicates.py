@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from docstrata.common import cut_lineage, small_side
 
 WORD = re.compile(r"\w+")
-#: Buckets with more distinct texts than this are linked star-wise first and completed across components afterwards.
+#: Buckets with more distinct texts than this are linked star-wise first; what that leaves apart is completed, exactly, by
+#: the rarest shingles of their texts instead of all pairs.
 LARGE_BUCKET = 1000
 
 
@@ -235,24 +236,43 @@ def components(links: DataFrame) -> DataFrame:
         links = small
 
 
+def _rare_pairs(members: DataFrame, records: DataFrame, like: Likeness) -> DataFrame:
+    """``a, b``: of the texts of ``members`` (``node, group``) all pairs of different groups that can reach the threshold.
+
+    Two sets that do share one of the rarest ``n - ceil(threshold * n) + 1`` shingles of each, so a join on these loses no
+    link; unlike texts meet in common shingles only, and those aren't among the rarest. Shingles are counted over all
+    members; a text's own are ranked in one window group.
+    """
+    sets = (
+        records.select("text")
+        .mapInPandas(_shingle_sets(like), "node long, shingles array<long>")
+        .join(small_side(members), "node")
+        .dropDuplicates(["node"])
+        .select("node", "group", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    )
+    each = cut_lineage(sets)
+    held = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))
+    rare = each.join(held, "shingle").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * like.threshold - 1e-9) + 1)
+    x, y = (rare.select("shingle", F.col("node").alias(n), F.col("group").alias(f"g{n}"), F.col("size").alias(f"n{n}")) for n in "ab")
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * like.threshold - 1e-9
+    return x.join(y, "shingle").where("a < b AND ga <> gb").where(fits).select("a", "b").distinct()
+
+
 def links(records: DataFrame, like: Likeness) -> DataFrame:
     """``a, b``: links between the nodes of ``records`` (``id, text``) that connect all texts of a group.
 
     Every pair that shares a band is verified, except within buckets of more than LARGE_BUCKET texts: there each text is
-    verified against the least one, and afterwards against all texts of the bucket that are not yet connected to it.
+    verified against the least one, and afterwards against those texts of large buckets that it can be like and isn't yet
+    connected to.
     """
     pairs = cut_lineage(candidates(records, like))
     first = cut_lineage(_verified(pairs, records, like))
     if pairs.where("large").isEmpty():
         return first
-    members = cut_lineage(
-        _buckets(records, like)
-        .where(F.col("n") > LARGE_BUCKET)
-        .join(components(first), "node", "left")
-        .select("band", "node", F.coalesce("group", "node").alias("group"))
-    )
-    x, y = (members.select("band", F.col("node").alias(n), F.col("group").alias(f"g{n}")) for n in "ab")
-    rest = x.join(y, "band").where("a < b AND ga <> gb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    large = pairs.where("large").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = cut_lineage(large.join(components(first), "node", "left").select("node", F.coalesce("group", "node").alias("group")))
+    rest = _rare_pairs(members, records, like).join(pairs, ["a", "b"], "left_anti")
     return first.union(_verified(cut_lineage(rest), records, like))
 
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -70,6 +71,22 @@ def test_large_buckets_are_completed(spark, monkeypatch):
     assert {frozenset(g) for g in groups.values()} == brute(rows, like)
 
 
+def test_many_unlike_texts_in_one_bucket(spark):
+    """20,000 texts that share a passage, so that they meet in many buckets, but are unlike; and a few that are alike."""
+    r = random.Random(6)
+    common = " ".join(f"c{i}" for i in range(14))
+    rows = [(f"u{i}", f"{common} " + " ".join(f"x{r.randrange(10**6)}" for _ in range(16))) for i in range(20_000)]
+    rows += [(f"d{i}", f"{rows[i * 100][1]} y{i}") for i in range(5)]
+    like = nd.Likeness("word", 3, 0.6, rows=2, name="hot")
+    started = time.time()
+    found = nd.near_duplicates(spark.createDataFrame(rows, "id string, text string").repartition(8), like)
+    groups = {}
+    for x in found.collect():
+        groups.setdefault(x.group, set()).add(x.id)
+    assert sorted(g for g in map(sorted, groups.values()) if len(g) > 1) == sorted([f"d{i}", f"u{i * 100}"] for i in range(5))
+    assert time.time() - started < 240
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.group for r in nd.components(links).collect()}
