@@ -19,8 +19,8 @@ BLOCK = 16
 #: The index is sent to every executor, so the items of one index may hold at most so many characters (its size is linear
 #: in them, about eight times as many bytes); more items are indexed in several parts, each asked with all documents.
 INDEX_CHARS = 4_000_000
-#: Passages whose answers a task remembers.
-MEMO = 200_000
+#: Passages whose answers a task remembers, and that are looked up at once.
+MEMO, PASSAGES = 200_000, 1_000
 
 
 def words(text: str) -> list[str]:
@@ -34,6 +34,13 @@ def question_words(text: str) -> int:
     return len(words(text[: end.end()])) if end else 0
 
 
+def _spread(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges from ``begins`` to ``ends``, and which range each is of."""
+    sizes = ends - begins
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begins[which], which
+
+
 @dataclass
 class ItemIndex:
     """Inverted index of test items with BM25 impacts: posting lists, and over them lists of block maxima.
@@ -53,6 +60,9 @@ class ItemIndex:
     block_at: np.ndarray
     block: np.ndarray
     block_max: np.ndarray
+    #: Term and item, term and block of each place in one number, ascending.
+    item_key: np.ndarray
+    block_key: np.ndarray
     upper: np.ndarray
     need: np.ndarray
     ids: list[int]
@@ -90,43 +100,42 @@ class ItemIndex:
         np.maximum.at(upper, term, impact)
         numbers = range(len(terms) + 2)
         return cls(
-            run, terms, np.searchsorted(term, numbers), place, impact, np.searchsorted(term[first], numbers), place[first] // BLOCK, maxima, upper,
+            run, terms, np.searchsorted(term, numbers), place, impact, np.searchsorted(term[first], numbers), place[first] // BLOCK, maxima,
+            term * len(items) + place, term[first] * -(-len(items) // BLOCK) + place[first] // BLOCK, upper,
             np.array([x[0] for x in items]), [x[1] for x in items], np.concatenate([np.zeros(0, np.int32), *[x[4] for x in items]]),
             np.concatenate([[0], np.cumsum([len(x[4]) for x in items])]).astype(np.int64), np.array([x[5] for x in items]),
         )
 
-    def retrieved(self, passage: np.ndarray) -> np.ndarray:
-        """The places of the items whose score for a passage reaches their need: block-max WAND.
+    def retrieved(self, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(passage, item)`` places of the items whose score for a passage (a row of terms) reaches their need: block-max
+        WAND, for many passages at once.
 
-        Terms are taken in the order of their upper bounds; those whose bounds together stay below the least need of all
-        can't bring an item in alone, so only blocks of the other terms' lists (from the pivot on) are looked at. Of these
-        only blocks whose maxima reach their need are scored, item by item.
+        A passage's terms are taken in the order of their upper bounds; those whose bounds together stay below the least
+        need of all can't bring an item in alone, so only blocks in the lists of the other terms (from the pivot on) are
+        looked at. Of these only blocks whose maxima reach their need are scored, item by item.
         """
-        upper = self.upper[passage]
-        order = passage[np.argsort(upper, kind="stable")]
-        pivot = int(np.searchsorted(np.cumsum(np.sort(upper)), self.need[0]))
-        lists = [slice(self.block_at[t], self.block_at[t + 1]) for t in order]
-        if pivot >= len(order):
-            return np.empty(0, dtype=np.int64)
-        blocks = np.unique(np.concatenate([self.block[x] for x in lists[pivot:]]))
-        bound = np.zeros(len(blocks))
-        for x in lists:
-            there = self.block[x]
-            i = np.searchsorted(there, blocks)
-            i[i == len(there)] = 0
-            bound += np.where(there[i] == blocks, self.block_max[x][i], 0) if len(there) else 0
-        blocks = blocks[bound >= self.need[blocks * BLOCK]]
-        out = []
-        for b in blocks.tolist():
-            score = np.zeros(BLOCK)
-            for t in order:
-                low, high = self.at[t], self.at[t + 1]
-                i = low + np.searchsorted(self.item[low:high], b * BLOCK)
-                j = low + np.searchsorted(self.item[low:high], (b + 1) * BLOCK)
-                score[self.item[i:j] - b * BLOCK] += self.impact[i:j]
-            need = self.need[b * BLOCK : (b + 1) * BLOCK]
-            out.append(b * BLOCK + np.flatnonzero(score[: len(need)] >= need))
-        return np.concatenate(out) if out else np.empty(0, dtype=np.int64)
+        upper = self.upper[passages]
+        order = np.argsort(upper, axis=1, kind="stable")
+        ranked = np.take_along_axis(passages, order, axis=1)
+        wanted = np.cumsum(np.take_along_axis(upper, order, axis=1), axis=1) >= self.need[0]
+        row, column = np.nonzero(wanted)
+        place, which = _spread(self.block_at[ranked[row, column]], self.block_at[ranked[row, column] + 1])
+        blocks = -(-len(self.need) // BLOCK)
+        pairs = np.unique(row[which] * blocks + self.block[place])
+        row, block = pairs // blocks, pairs % blocks
+        lists = passages[row] * blocks + block[:, None]
+        at = np.minimum(np.searchsorted(self.block_key, lists), len(self.block_key) - 1)
+        bound = np.where(self.block_key[at] == lists, self.block_max[at], 0).sum(axis=1)
+        kept = bound >= self.need[block * BLOCK] * (1 - 1e-6)
+        row, block = row[kept], block[kept]
+        lists = (passages[row] * len(self.need) + block[:, None] * BLOCK).ravel()
+        ends = np.minimum(block * BLOCK + BLOCK, len(self.need))
+        place, which = _spread(np.searchsorted(self.item_key, lists), np.searchsorted(self.item_key, (passages[row] * len(self.need) + ends[:, None]).ravel()))
+        pair = which // passages.shape[1]
+        score = np.bincount(pair * BLOCK + self.item[place] % BLOCK, self.impact[place], minlength=len(row) * BLOCK).reshape(-1, BLOCK)
+        need = np.append(self.need, np.full(BLOCK, np.inf))[block[:, None] * BLOCK + np.arange(BLOCK)]
+        pair, inner = np.nonzero(score >= need)
+        return row[pair], block[pair] * BLOCK + inner
 
     def overlap(self, item: int, passage: np.ndarray) -> int:
         """Where a passage stands in an item: 1 in its question, 2 in what follows, 3 across or in both, 0 nowhere."""
@@ -153,15 +162,21 @@ class ItemIndex:
         known = np.concatenate([[0], np.cumsum(terms > 0)])
         right = (known[self.run :] - known[: -self.run] == self.run) & (total[self.run :] - total[: -self.run] >= self.need[0] * (1 - 1e-9))
         memo = {} if memo is None else memo
+        if len(memo) > MEMO:
+            memo.clear()
+        passages = np.lib.stride_tricks.sliding_window_view(terms, self.run)[right]
+        keys = [p.tobytes() for p in passages]
+        new = {key: i for i, key in enumerate(keys) if key not in memo}
+        fresh = list(new.values())
+        for some in (fresh[i : i + PASSAGES] for i in range(0, len(fresh), PASSAGES)):
+            for i in some:
+                memo[keys[i]] = []
+            for row, item in zip(*map(np.ndarray.tolist, self.retrieved(passages[some])), strict=True):
+                if where := self.overlap(item, passages[some[row]]):
+                    memo[keys[some[row]]].append((self.ids[item], where))
         out: dict[int, int] = {}
-        for i in np.flatnonzero(right).tolist():
-            passage = terms[i : i + self.run]
-            answer = memo.get(key := passage.tobytes())
-            if answer is None:
-                if len(memo) > MEMO:
-                    memo.clear()
-                answer = memo[key] = [(self.ids[x], where) for x in self.retrieved(passage).tolist() if (where := self.overlap(x, passage))]
-            for ident, where in answer:
+        for key in keys:
+            for ident, where in memo[key]:
                 out[ident] = out.get(ident, 0) | where
         return out
 

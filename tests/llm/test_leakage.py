@@ -84,7 +84,9 @@ def test_skipping_loses_nothing():
         score = np.zeros(len(index.need))
         for t in passage:
             score[index.item[index.at[t] : index.at[t + 1]]] += index.impact[index.at[t] : index.at[t + 1]]
-        assert set(index.retrieved(passage).tolist()) == set(np.flatnonzero(score >= index.need).tolist())
+        got = index.retrieved(np.stack([passage, passage[::-1]]))
+        for row in (0, 1):
+            assert set(got[1][got[0] == row].tolist()) == set(np.flatnonzero(score >= index.need).tolist())
 
 
 def test_many_items_make_one_index():
