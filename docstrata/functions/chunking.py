@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,23 +60,20 @@ def chunk_text(text: str, first_line: int = 1) -> list[tuple[str, int, int]]:
     """
     target, limit = sizes(text)
     units = pieces(text, target)
-    length = [_units(u[0]) for u in units]
-    out, start = [], 0
-    while start < len(units):
-        end, total = start, 0
-        while end < len(units) and (end == start or total < target and total + length[end] <= limit):
-            total += length[end]
-            end += 1
+    lines = [u[1] for u in units]
+    upto = [0, *accumulate(_units(u[0]) for u in units)]  # length before each piece
+    n, out, start = len(units), [], 0
+    while start < n:
+        reached = bisect_left(upto, upto[start] + target)
+        within = bisect_right(upto, upto[start] + limit) - 1
+        end = min(n, max(start + 1, min(reached, within)))
         body = "".join(u[0] for u in units[start:end])
         if body.strip():
-            out.append((body, units[start][1] + first_line, units[end - 1][1] + first_line))
-        back = end
-        while back > start and units[back - 1][1] >= units[end - 1][1] - 1:
-            back -= 1
-        repeated = sum(length[back:end])
-        whole = units[back][2] and units[end - 1][3]
-        fits = end < len(units) and repeated < target and repeated + length[end] <= limit
-        start = back if back > start and whole and fits else end
+            out.append((body, lines[start] + first_line, lines[end - 1] + first_line))
+        two = bisect_left(lines, lines[end - 1] - 1)  # where the last two lines begin
+        again = upto[end] - upto[two]
+        room = end < n and again < target and upto[end + 1] - upto[two] <= limit
+        start = two if room and two > start and units[two][2] and units[end - 1][3] else end
     return out
 
 
