@@ -77,29 +77,56 @@ def chunk_text(text: str, first_line: int = 1) -> list[tuple[str, int, int]]:
     return out
 
 
-_FUNCTION = re.compile(
-    r"(?m)^(?!\s)(?:(?:static|inline|extern|const|unsigned|signed|struct|enum|volatile|void|int|char|long|short|float|double|bool|auto|virtual|\w+_t|[A-Za-z_]\w*)"
-    r"[\s*&]+)+(?:[A-Za-z_]\w*::)*~?([A-Za-z_]\w*)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:const\s*)?(?:noexcept\s*)?\{"
-)
-_SKIP = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
+_SKIP = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(?m:^[ \t]*\#(?:[^\n\\]|\\\n|\\.)*)")
+_MARK = re.compile(r"[{}();=]")
+_NAME = re.compile(r"(~?[A-Za-z_]\w*)\s*$")
+#: Words before a bracket that don't name a function, and what opens a block whose functions count.
+NO_NAMES = frozenset("if while for switch return sizeof catch do else defined alignof decltype __attribute__ __declspec".split())
+_HOLDER = re.compile(r"^\s*(?:inline\s+)?namespace\b[^()]*$|^\s*extern\s*$")
 
 
 def functions(text: str) -> list[tuple[int, int, str]] | None:
-    """``(start, end, name)`` of the top-level C or C++ functions; None if brackets don't close (then lines are used)."""
+    """``(start, end, name)`` of the C or C++ functions outside of other blocks, but for namespaces and ``extern "C"``; None
+    if brackets don't close (then lines are used).
+
+    One pass over brackets and semicolons: what stands between the end of the last declaration and a block is its head, and
+    the head of a function names it before its first bracket and assigns nothing.
+    """
     plain = _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    out, at = [], 0
-    while m := _FUNCTION.search(plain, at):
-        depth, end = 0, m.end() - 1
-        for brace in re.finditer(r"[{}]", plain[end:]):
-            depth += 1 if brace[0] == "{" else -1
-            if not depth:
-                end += brace.end()
-                break
-        if depth:
-            return None
-        out.append((m.start(), end, m[1]))
-        at = end
-    return None if plain.count("{") != plain.count("}") else out
+    out: list[tuple[int, int, str]] = []
+    blocks: list[tuple[str, int, str]] = []  # what each open block is, where its head begins, its name
+    head, round_, name = 0, 0, ""
+    for m in _MARK.finditer(plain):
+        mark, at = m[0], m.start()
+        inside = bool(blocks) and blocks[-1][0] != "holder"
+        if mark == "{":
+            begin = head + len(plain[head:at]) - len(plain[head:at].lstrip())
+            kind = "inner" if inside or round_ else "holder" if _HOLDER.match(plain[head:at]) else "function" if name and name != "=" else "other"
+            blocks.append((kind, begin, name))
+            head, name = at + 1, ""
+        elif mark == "}":
+            if not blocks or round_ and not inside:
+                return None
+            kind, begin, named = blocks.pop()
+            if kind == "function":
+                out.append((begin, at + 1, named))
+            if not blocks or blocks[-1][0] == "holder":
+                head, name, round_ = at + 1, "", 0
+        elif inside:
+            continue
+        elif mark == "(":
+            if not round_ and not name:
+                found = _NAME.search(plain, head, at)
+                name = found[1] if found and found[1] not in NO_NAMES else ""
+            round_ += 1
+        elif mark == ")":
+            round_ = max(0, round_ - 1)
+        elif not round_:
+            if mark == "=" and not plain.endswith("operator", head, at):
+                name = "="  # an initializer, no function
+            elif mark == ";":
+                head, name = at + 1, ""
+    return None if blocks else sorted(out)
 
 
 def chunk_code(text: str) -> list[tuple[str, int, int, str | None]]:

@@ -47,6 +47,11 @@ def test_functions_are_chunked_apart():
     assert [n for _, _, n in functions(code)] == ["f", "g"]
     assert [(s, a) for _, a, _, s in chunk_code(code)] == [(None, 1), ("f", 3), ("g", 8)]
     assert functions("int f() { {") is None
+    nested = "namespace a {\nnamespace b {\nT C::f(int (*g)(int), U<int> u) const noexcept {\n  if (u) { g(1); }\n}\n}\n}\nextern \"C\" {\nvoid h(void)\n{\n}\n}\n"
+    assert [n for _, _, n in functions(nested)] == ["f", "h"]
+    others = "struct s { int (*f)(int); };\nint t[] = { 1, 2 };\nauto l = [](int a) { return a; };\nenum e { A };\nbool C::operator==(const C &c) { return true; }\nA::A(int b) : b_(b) {}\n"
+    assert [n for _, _, n in functions(others)] == ["A"]
+    assert functions("word and word " * 20_000) == []
 
 
 def test_chunked_edges(spark):
