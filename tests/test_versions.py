@@ -88,3 +88,49 @@ def test_signature_ignores_order(spark):
     rows = [("a", "p", "h", "k"), ("a", "q", None, "k"), ("b", "q", None, "k"), ("b", "p", "h", "k"), ("c", "p", "h2", "k"), ("c", "q", None, "k")]
     got = {r.snapshot_id: r.signature for r in ve.signatures(spark.createDataFrame(rows, schema)).collect()}
     assert got["a"] == got["b"] != got["c"]
+
+
+def test_reuse_needs_equal_listings(spark):
+    order = spark.createDataFrame([("s1", "a", 0), ("s2", "a", 1), ("s3", "a", 2), ("s4", "a", 3), ("t1", "b", 0), ("t2", "b", 1), ("t3", "b", 2)], "snapshot_id string, source_id string, idx int")
+    rows = [(s, p, h, "k") for s, h in (("s1", "x"), ("s2", "x"), ("s3", None), ("s4", None)) for p in ("p", "q")] + [("t1", "p", "x", None), ("t2", "p", "x", "k")]
+    files = spark.createDataFrame(rows, "snapshot_id string, path string, raw_hash string, logical_key string")
+    assert {tuple(r) for r in ve.reusable(files, order).collect()} == {("s2", "s1"), ("s4", "s3")}
+    assert {tuple(r) for r in ve.reusable(files.limit(0), order).collect()} == {("s2", "s1"), ("s3", "s2"), ("s4", "s3"), ("t2", "t1"), ("t3", "t2")}
+    assert ve.reusable(files, order.limit(0)).count() == 0
+
+
+def test_frozen_takes_the_latest_complete_snapshot(spark):
+    rows = [("s1", "a", 1, True), ("s2", "a", 2, True), ("s2", "a", 2, False), ("s3", "a", 9, True), ("t1", "b", 5, True), (None, "c", 1, True)]
+    snapshots = spark.createDataFrame(rows, "snapshot_id string, source_id string, t int, complete boolean").selectExpr("*", "timestamp_seconds(t) AS created_at")
+    at = snapshots.selectExpr("timestamp_seconds(4) AS at").first()["at"]
+    assert [tuple(r) for r in ve.frozen(snapshots, at).collect()] == [("a", "s1")]
+
+
+def test_vector_changes_compare_contents(spark):
+    schema = "file_id string, parsed_key string"
+    old = spark.createDataFrame([("1", "k1"), ("2", "k2"), ("3", None)], schema)
+    now = spark.createDataFrame([("9", "k1"), ("4", "k3"), ("5", "k3")], schema)
+    chunks = spark.createDataFrame([("c1", "k1"), ("c2", "k2"), ("c3", "k3"), ("c4", "k4"), ("c5", None)], "chunk_id string, parsed_key string")
+    assert {tuple(r) for r in ve.vector_changes(old, now, chunks).collect()} == {("c2", "delete"), ("c3", "upsert")}
+
+
+def test_hunks_are_cited_by_their_chunks(spark):
+    chunks = spark.createDataFrame([("k", "c0", 0, "a\nb"), ("k", "c1", 1, "c\nd"), ("k", "c2", 2, "e")], "parsed_key string, chunk_id string, ordinal int, text string")
+    placed = ve.placed_chunks(chunks)
+    assert [(r.chunk_id, r.first, r.last) for r in placed.orderBy("ordinal").collect()] == [("c0", 1, 2), ("c1", 3, 4), ("c2", 5, 5)]
+    assert ve.joined_texts(chunks).first().text == "a\nb\nc\nd\ne"
+    hunk = "struct<before_start:int,after_start:int,removed:array<string>,added:array<string>>"
+    rows = [("touches two", "k", (2, 2, ["x"], ["b", "c"])), ("only deletes", "k", (5, 5, ["x"], [])), ("deletes at the start", "k", (1, 1, ["x"], [])), ("beyond", "k", (9, 9, [], ["z"])), ("no document", "none", (1, 1, [], ["z"]))]
+    found = ve.cited_hunks(spark.createDataFrame(rows, f"id string, after_key string, h {hunk}"), placed)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.id, set()).add(r.chunk_id)
+    assert got == {"touches two": {"c0", "c1"}, "only deletes": {"c1"}, "deletes at the start": {"c0"}, "beyond": {"c0"}, "no document": {None}}
+
+
+def test_scope_comes_before_double_delivery(spark):
+    rows = [("f1", "s1", "spec", "p", 1), ("f1", "s1", "code", "p", 2), ("f2", "s2", "spec", "q", 1)]
+    files = spark.createDataFrame(rows, "file_id string, snapshot_id string, role string, path string, t int").selectExpr("* EXCEPT (t)", "timestamp_seconds(t) AS loaded_at")
+    scope = spark.createDataFrame([("s1",)], "snapshot_id string")
+    assert [r.role for r in sc.files_of(files, scope).collect()] == ["code"]
+    assert sc.files_of(files, scope, role="spec").count() == 0
