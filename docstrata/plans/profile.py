@@ -151,3 +151,33 @@ def debounced_changes(spark: SparkSession, directory: str) -> DataFrame:
     events = table(spark, directory, "events").select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"))
     found = quiet_periods(events, "1 hour")
     return found.select("source_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("began", "last_change")], "changes")
+
+
+@query(
+    "pending_embeddings",
+    "SELECT lang, count(DISTINCT doc_id) AS pending FROM documents WHERE text <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY lang",
+)
+def pending_embeddings(spark: SparkSession, directory: str) -> DataFrame:
+    """How many texts of each language wait for their vector."""
+    done = table(spark, directory, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    waiting = table(spark, directory, "documents").where("text <> ''").select("doc_id", "lang").join(done, "doc_id", "left_anti")
+    return waiting.groupBy("lang").agg(F.count_distinct("doc_id").alias("pending"))
+
+
+@query(
+    "source_checks",
+    """
+WITH s AS (SELECT DISTINCT snapshot_id, source_id, created_at, complete FROM snapshots)
+SELECT sources.source_id, count(s.snapshot_id) AS snapshots, count(*) FILTER (s.complete = false) AS incomplete, epoch_us(max(s.created_at)) AS latest_us
+FROM sources LEFT JOIN s USING (source_id) GROUP BY sources.source_id
+""",
+)
+def source_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """Each source's snapshots, how many of them are incomplete, and when it was last looked at."""
+    once = table(spark, directory, "snapshots").select("snapshot_id", "source_id", "created_at", "complete").distinct()
+    held = once.groupBy("source_id").agg(
+        F.count("snapshot_id").alias("snapshots"), F.count_if(~F.col("complete")).alias("incomplete"), F.unix_micros(F.max("created_at")).alias("latest_us")
+    )
+    return table(spark, directory, "sources").select("source_id").join(held, "source_id", "left").select(
+        "source_id", F.coalesce("snapshots", F.lit(0)).alias("snapshots"), F.coalesce("incomplete", F.lit(0)).alias("incomplete"), "latest_us"
+    )
