@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docstrata.common import written_once
@@ -47,7 +47,15 @@ def write_index(chunks: DataFrame, path: str) -> None:
     held = spark.read.parquet(f"{path}/postings")
     held.groupBy("term").agg(F.count(F.lit(1)).alias("chunks")).write.mode("overwrite").parquet(f"{path}/terms")
     words = held.agg(F.sum(F.col("tf_title") + F.col("tf_text")).alias("words"))
-    words.withColumn("n", F.lit(chunks.count())).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    kind = dict(chunks.dtypes)["chunk_id"]
+    words.select("words", F.lit(chunks.count()).alias("n"), F.lit(kind).alias("kind")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def _open_index(spark: SparkSession, path: str) -> tuple[Row, DataFrame, DataFrame]:
+    """Totals, postings and terms of an index. Schemas are given, so that opening reads the one row of totals only."""
+    total = spark.read.schema("words long, n long, kind string").parquet(f"{path}/totals").first()
+    postings_schema = f"term string, chunk_id {total.kind}, tf_title long, tf_text long, dl int"
+    return total, spark.read.schema(postings_schema).parquet(f"{path}/postings"), spark.read.schema("term string, chunks long").parquet(f"{path}/terms")
 
 
 def index_of(chunks: DataFrame, name: str) -> str:
@@ -73,11 +81,10 @@ def search_index(spark: SparkSession, path: str, queries: dict[str, list[str]])
     Prefixes reach the scan as filters on the sorted term column, so only the row groups that hold them are read; all
     words of all queries are read in one scan. Frequencies are sums over the matching postings.
     """
-    total = spark.read.parquet(f"{path}/totals").first()
+    total, terms, _ = _open_index(spark, path)
     asked = sorted({(q, fold_word(w)) for q, words in queries.items() for w in words})
     prefixes = sorted({p for _, p in asked})
-    terms = spark.read.parquet(f"{path}/postings")
-    if not prefixes or not total or not total.n:
+    if not prefixes or not total.n:
         return terms.select(F.lit("").alias("query"), "chunk_id", F.lit(0.0).alias("score")).limit(0)
     found = terms.where(reduce(lambda a, b: a | b, [F.col("term").startswith(p) for p in prefixes])).select(
         "chunk_id",
@@ -101,13 +108,13 @@ def answers(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
     chunk is worked out once however many questions hold it. Common words are long lists that AQE's skew join splits.
     Questions without words, and an empty index, have no hits.
     """
-    total = spark.read.parquet(f"{path}/totals").first()
+    total, postings_, terms_ = _open_index(spark, path)
     words = questions.select("query", F.explode(query_words(fold(F.coalesce("text", F.lit(""))))).alias("prefix")).distinct()
-    terms = spark.read.parquet(f"{path}/terms").select(
+    terms = terms_.select(
         "term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring(F.col("term"), F.lit(1), i))).alias("prefix")
     )
     pairs = terms.join(words.select("prefix").distinct(), "prefix")
-    by_chunk = _by_chunk(spark.read.parquet(f"{path}/postings").join(pairs, "term"))
+    by_chunk = _by_chunk(postings_.join(pairs, "term"))
     held = by_chunk.groupBy("prefix").agg(F.count(F.lit(1)).alias("d"))
     shares = _shares(by_chunk, held, max(1, total.n), total.words or 0)
     return words.join(shares, "prefix").groupBy("query", "chunk_id").agg(F.sum("share").alias("score"))
