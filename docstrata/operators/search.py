@@ -25,14 +25,11 @@ def postings(chunks: DataFrame) -> DataFrame:
     A chunk's words are counted where it is read, so the shuffle carries one row per different word of a chunk.
     """
     words = chunks.select("chunk_id", tokens(F.col("title")).alias("t"), tokens(F.col("text")).alias("x"))
-    terms = words.select(
-        "chunk_id",
-        (F.size("t") + F.size("x")).alias("dl"),
-        F.explode(F.concat(F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(1).alias("t"))), F.transform("x", lambda w: F.struct(w.alias("term"), F.lit(0).alias("t"))))).alias("w"),
+    terms = words.select("chunk_id", F.size("t").alias("titled"), (F.size("t") + F.size("x")).alias("dl"), F.posexplode(F.concat("t", "x")).alias("place", "term"))
+    in_title = (F.col("place") < F.col("titled")).cast("long")
+    return terms.groupBy("term", "chunk_id", "dl").agg(F.sum(in_title).alias("tf_title"), F.sum(1 - in_title).alias("tf_text")).select(
+        "term", "chunk_id", "tf_title", "tf_text", "dl"
     )
-    return terms.groupBy(F.col("w.term").alias("term"), "chunk_id", "dl").agg(
-        F.sum("w.t").alias("tf_title"), F.sum(1 - F.col("w.t")).alias("tf_text")
-    ).select("term", "chunk_id", "tf_title", "tf_text", "dl")
 
 
 def write_postings(chunks: DataFrame, path: str) -> None:
@@ -71,6 +68,12 @@ def _shares(by_chunk: DataFrame, held: DataFrame, n: int, words: int) -> DataFra
     return by_chunk.join(held, "prefix").select("prefix", "chunk_id", share.alias("share"))
 
 
+def _held(by_chunk: DataFrame) -> DataFrame:
+    """``prefix, d``: how many chunks hold each prefix. It asks for all columns of ``by_chunk``, so that Spark makes that
+    shuffle once for this and for the shares."""
+    return by_chunk.groupBy("prefix").agg(F.sum(F.when(F.col("f").isNotNull() & F.col("dl").isNotNull(), 1)).alias("d"))
+
+
 def _by_chunk(found: DataFrame) -> DataFrame:
     return found.groupBy("prefix", "chunk_id").agg(F.sum(TITLE_WEIGHT * F.col("tf_title") + F.col("tf_text")).alias("f"), F.first("dl").alias("dl"))
 
@@ -94,7 +97,7 @@ def search_index(spark: SparkSession, path: str, queries: dict[str, list[str]])
         "dl",
     )
     by_chunk = _by_chunk(found)
-    held = by_chunk.groupBy("prefix").agg(F.count(F.lit(1)).alias("d"))
+    held = _held(by_chunk)
     wanted = spark.createDataFrame(asked, "query string, prefix string")
     shares = _shares(by_chunk, F.broadcast(held), total.n, total.words)  # at most a row a word asked for
     return shares.join(F.broadcast(wanted), "prefix").groupBy("query", "chunk_id").agg(F.sum("share").alias("score"))
@@ -115,7 +118,7 @@ def answers(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
     )
     pairs = terms.join(words.select("prefix").distinct(), "prefix")
     by_chunk = _by_chunk(postings_.join(pairs, "term"))
-    held = by_chunk.groupBy("prefix").agg(F.count(F.lit(1)).alias("d"))
+    held = _held(by_chunk)
     shares = _shares(by_chunk, held, max(1, total.n), total.words or 0)
     return words.join(shares, "prefix").groupBy("query", "chunk_id").agg(F.sum("share").alias("score"))
 
