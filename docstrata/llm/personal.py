@@ -86,7 +86,7 @@ _NUMBERS = re.compile(rf"(?<![A-Za-z0-9_])[+(]{{0,2}}{_GROUP}(?:[ ./()-]{{1,3}}{
 _GROUPS = re.compile(r"[A-Z0-9]+")
 #: A house number with a word behind it, and one with a word before it.
 _HOUSE_BEFORE = re.compile(r"(?<![\w.,/#+:-])\d{1,4}[A-Za-z]?(?: ?(?:bis|ter))?,? (?=[^\W\d_])")
-_HOUSE_BEHIND = re.compile(r"(?<=[^\W\d_])(\.?,? (?:n\.?º ?|[Nn]o\.? ?|[Nn]r\.? ?)?)\d{1,4}[A-Za-z]?(?![\w./-])")
+_HOUSE_BEHIND = re.compile(r"(?<=[^\W\d_])(\.?,? (?:n\.?º ?|[Nn]o\.? ?|[Nn]r\.? ?)?)\d{1,4}[A-Za-z]?(?![\w/-]|\.\w)")
 _STREET_WORD = re.compile(rf"({_WORD})(\.?)(?!\w)[ -]?|[a-zà-ÿ]{{1,10}} |[dl]['’]")
 #: Most words of a name and of a street, most groups of a number.
 NAME_WORDS, STREET_WORDS, NUMBER_GROUPS = 6, 5, 9
