@@ -27,9 +27,6 @@ from pyspark.sql import functions as F
 from docstrata.llm import grammars as g
 from docstrata.llm.chart import DROP, GROUP, LONG, MEMO, Grammar
 
-#: Residual brackets up to which the least cost of brackets is charted (the chart grows with their square); beyond, each of
-#: them is one edit. Whether a file is flagged doesn't depend on it.
-CHARTED = 2_000
 BAD, CONFLICT_KIND, LINE_KIND = "!", "X", "\n"
 CONFLICT = r"(?m:^(?:<{7}|={7}|>{7}|\|{7})(?![<=>|]).*)"
 PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">"}
@@ -521,8 +518,11 @@ def balance(brackets: str) -> tuple[int, dict[int, str]]:
     stands in its place. Brackets left open (a bracket is deleted or gets a partner, which costs the same) are deleted here.
 
     Adjacent pairs that match are cancelled, and closers before all openers and openers after all closers, which nothing
-    can match, put aside. Over the rest a chart of all spans is filled bottom-up: a span's first bracket is deleted, or
-    matched with a later one, whose exchange costs 1.
+    can match, put aside. The rest is charted from its end, whatever its length: for each opener, what is saved from there up
+    to before each closer. It is deleted, or matched with a later closer of its shape, which saves 2, or of another, which
+    saves 1. A closer needs a try only if matching it saves more, up to there, than all closers before it do: else it
+    saves no more further on either. Closers in a row go on alike, so they are tried at once. Rows stay, packed, for the
+    way back.
     """
     rest: list[int] = []
     for i, b in enumerate(brackets):
@@ -533,39 +533,77 @@ def balance(brackets: str) -> tuple[int, dict[int, str]]:
     edits = {i: "" for i in rest}
     first = next((k for k, i in enumerate(rest) if brackets[i] in PAIRS), len(rest))
     last = next((k + 1 for k in range(len(rest) - 1, -1, -1) if brackets[rest[k]] in CLOSES), 0)
-    middle = rest[first:last]
-    n = len(middle)
-    if not 1 < n <= CHARTED:
+    openers = [i for i in rest[first:last] if brackets[i] in PAIRS]
+    closers = [i for i in rest[first:last] if brackets[i] in CLOSES]
+    if not openers:
         return len(rest), edits
-    opens = np.array([brackets[i] in PAIRS for i in middle])
-    shapes = np.array(["([{<".index(CLOSES.get(brackets[i], brackets[i])) for i in middle])
-    best = np.zeros((n + 1, n + 1), dtype=np.int32)  # of the span from i to before j
-    pick = np.full((n + 1, n + 1), -1, dtype=np.int32)
-    for i in range(n - 1, -1, -1):
-        best[i, i + 1 :] = best[i + 1, i + 1 :] + 1
-        if not opens[i]:
-            continue
-        for k in np.flatnonzero(~opens[i + 1 :]) + i + 1:
-            cost = best[i + 1, k] + int(shapes[i] != shapes[k]) + best[k + 1, k + 1 :]
-            better = cost < best[i, k + 1 :]
-            best[i, k + 1 :][better] = cost[better]
-            pick[i, k + 1 :][better] = k
+    n = len(closers)
+    shapes = np.array(["([{<".index(CLOSES[brackets[i]]) for i in closers], dtype=np.int8)
+    before = np.searchsorted(closers, openers)  # closers before each opener
+    following = np.searchsorted(openers, closers)  # the opener that follows each closer
+    ends = np.append(before, n)[following]  # the end of each closer's run
+    rows: list[tuple[_Row, np.ndarray]] = [(_Row(np.zeros(1)), np.zeros(0))] * len(openers)  # with the tries that saved more
+    start, row = n, np.zeros(1, dtype=np.int32)  # what is saved up to before each closer from ``start`` on, and in all
+    for o in range(len(openers) - 1, -1, -1):
+        row = np.concatenate([np.zeros(start - before[o], dtype=np.int32), row])
+        start = int(before[o])
+        values = row[:-1] + 1 + (shapes[start:] == "([{<".index(brackets[openers[o]]))
+        better, tried, at = row.copy(), np.zeros(n - start, dtype=bool), 0
+        while len(more := np.flatnonzero(values[at:] > better[at + 1 :])[:1]):
+            at += int(more[0])
+            end = int(ends[start + at]) - start
+            run, most = values[at:end], np.maximum.accumulate(values[at:end])
+            tried[at:end] = (run > better[at + 1 : end + 1]) & (run > np.append(0, most[:-1]))
+            np.maximum(better[at + 1 : end + 1], most, out=better[at + 1 : end + 1])
+            if end < len(values):
+                np.maximum(better[end:], most[-1] + rows[following[start + at]][0].all(), out=better[end:])
+            at = end
+        rows[o] = _Row(better), np.packbits(tried)
+        row = better
+
+    def saves(o: int, end: int) -> int:
+        return rows[o][0].up_to(end - int(before[o])) if o < len(openers) and before[o] < end else 0
+
     todo = [(0, n)]
     while todo:
-        i, j = todo.pop()
-        if i >= j:
-            continue
-        k = int(pick[i, j])
-        if k < 0:
-            todo.append((i + 1, j))
+        o, end = todo.pop()
+        saved = saves(o, end)
+        if saved == saves(o + 1, end):
+            if saved:
+                todo.append((o + 1, end))
             continue
-        del edits[middle[i]]
-        if shapes[i] == shapes[k]:
-            del edits[middle[k]]
+        tries = np.flatnonzero(np.unpackbits(rows[o][1])[: end - before[o]])
+        values = rows[o][0].all()[tries + 1]
+        tries += before[o]
+        for next_ in np.unique(following[tries]):
+            hit = np.flatnonzero((following[tries] == next_) & (values == saved - saves(next_, end)))
+            if len(hit):
+                k = int(tries[hit[0]])
+                break
+        del edits[openers[o]]
+        if CLOSES[brackets[closers[k]]] == brackets[openers[o]]:
+            del edits[closers[k]]
         else:
-            edits[middle[k]] = PAIRS[brackets[middle[i]]]
-        todo += [(i + 1, k), (k + 1, j)]
-    return len(rest) - n + int(best[0, n]), edits
+            edits[closers[k]] = PAIRS[brackets[openers[o]]]
+        todo += [(o + 1, k), (int(next_), end)]
+    return len(rest) - int(row[-1]), edits
+
+
+class _Row:
+    """Ascending numbers from 0 in steps of at most 2, two bits each."""
+
+    def __init__(self, row: np.ndarray):
+        step = np.diff(row)
+        self.n, self.bits = len(step), (np.packbits(step > 0), np.packbits(step > 1))
+
+    def all(self) -> np.ndarray:
+        found = np.zeros(self.n + 1, dtype=np.int32)
+        np.cumsum(sum(np.unpackbits(b, count=self.n) for b in self.bits), out=found[1:])
+        return found
+
+    def up_to(self, n: int) -> int:
+        full, more = divmod(n, 8)
+        return sum(int(np.bitwise_count(b[:full]).sum()) + (more and (int(b[full]) >> (8 - more)).bit_count()) for b in self.bits)
 
 
 def _mend(language: Language, tokens: list[Token]) -> tuple[int, list[tuple[int, int, int]], int]:

@@ -85,6 +85,17 @@ def test_brackets_need_the_fewest_edits():
     assert balance("(" * 5_000)[0] == 5_000
 
 
+def test_many_brackets_need_the_fewest_edits_too():
+    for n in (900, 1_500, 4_000):
+        assert balance("(" * n + "[" + ")" * n) == (1, {n: ""})
+    for n in (2, 1_500):
+        text = "([)]" * n
+        cost, edits = balance(text)
+        assert cost == len(edits) == 3 * n // 2 and balance("".join(edits.get(i, b) for i, b in enumerate(text))) == (0, {})
+    assert least_edits("([)]" * 2) == 3
+    assert repair("int a = " + "(" * 1_200 + "[" + "1" + ")" * 1_200 + ";", "c")[0] == 1
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
